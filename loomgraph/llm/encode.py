@@ -1,0 +1,61 @@
+"""Token ids by the tokenizers library, through a bounded memo of words.
+
+Both tokenizers used here split a text before merging, and no piece reaches over the
+cut points below, so a text's ids are its words' ids in a row.  Each distinct word is
+encoded by the library once per worker until the memo is full and starts anew.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+from array import array
+
+#: Byte-level splitting: a single space goes with the word after it; other white space stands alone as the splitter has it.
+BYTE_WORDS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: The word tokenizer drops white space; words end at ASCII white space.
+PLAIN_WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+#: Characters that Python's \s takes for white space and the tokenizers' splitters do not.
+ODD = re.compile("[\x1c-\x1f]")
+MEMO = 300_000
+_open: dict[tuple[str, str], "WordMemo"] = {}
+
+
+class WordMemo:
+    def __init__(self, spec: str, kind: str, most: int = MEMO):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(spec)
+        self.library.encode_special_tokens = True
+        self.kind, self.most, self.memo = kind, most, {}
+        self.find = (BYTE_WORDS if kind == "byte" else PLAIN_WORDS).findall
+
+    def learn(self, new: list[str]) -> None:
+        memo = self.memo
+        if len(memo) + len(new) > self.most:
+            memo.clear()
+        for word, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            memo[word] = array("I", e.ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), 64):
+            split = [None if self.kind == "byte" and ODD.search(t) else self.find(t) for t in texts[i : i + 64]]
+            new = set().union(*(x for x in split if x)).difference(self.memo)
+            if new:
+                whole = len(self.memo) + len(new) > self.most
+                self.learn(list(set().union(*(x for x in split if x))) if whole else list(new))
+            get = self.memo.__getitem__
+            for t, x in zip(texts[i : i + 64], split, strict=True):
+                out.append(b"".join(map(get, x)) if x is not None else array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes())
+        return out
+
+
+def encoder(spec: str, kind: str) -> WordMemo:
+    """One memo for each worker process and tokenizer, kept from task to task."""
+    key = (spec[:0] + str(hash(spec)), kind)
+    if key not in _open:
+        _open[key] = WordMemo(spec, kind)
+    return _open[key]

@@ -19,7 +19,45 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "score", "predicted", F.size("segments").alias("n_segments"))
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is; every operator takes the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), sequence=1024, end_id=2)
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_store import store_and_read
+
+    return store_and_read(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    rows = line_dedup(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("kept_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_token_store": op5_token_store,
+    "op7_line_dedup": op7_line_dedup,
     "op9_toxicity": op9_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, trim(line, chr(32) || chr(9) || chr(13)) AS t FROM l),
+bad AS (SELECT t FROM k WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10),
+j AS (SELECT k.*, bad.t IS NOT NULL AS gone FROM k LEFT JOIN bad USING (t)),
+g AS (SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM j GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, strlen(kept)::BIGINT AS n_bytes, md5(kept) AS kept_md5 FROM g""",
+}
