@@ -1,8 +1,11 @@
-"""Token ids by the tokenizers library, through a bounded memo of words.
+"""Token ids by the tokenizers library, through bounded memos of words.
 
-Both tokenizers used here split a text before merging, and no piece reaches over the
-cut points below, so a text's ids are its words' ids in a row.  Each distinct word is
-encoded by the library once per worker until the memo is full and starts anew.
+Both tokenizers used here split a text before merging, and no piece reaches over the cut
+points below, so a text's ids are its pieces' ids in a row.  Pieces are what stands
+between spaces (byte level: with the space before it) or white space (word level).  A
+piece not yet known is cut once more, into runs of letters, digits and marks, where its
+characters make the library's own cut points plain; each new run is encoded by the
+library's model, and both memos start anew when they are full.
 """
 
 from __future__ import annotations
@@ -11,51 +14,113 @@ import os
 import re
 from array import array
 
-#: Byte-level splitting: a single space goes with the word after it; other white space stands alone as the splitter has it.
-BYTE_WORDS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: The word tokenizer drops white space; words end at ASCII white space.
-PLAIN_WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-#: Characters that Python's \s takes for white space and the tokenizers' splitters do not.
+#: A text with these goes to the library as it is: they are white space to Python alone.
 ODD = re.compile("[\x1c-\x1f]")
-MEMO = 300_000
-_open: dict[tuple[str, str], "WordMemo"] = {}
+#: Byte level, for texts with spaces in a row: the library's own cut points at white space.
+BYTE_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-įı-ɏ", r"!-&(-/:-@\[-`{-~"
+RUNS = {
+    "byte": re.compile(f" ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\n").findall,
+    "plain": re.compile(f"[{LETTERS}]+|[0-9]|[{MARKS}]+").findall,
+}
+#: Stands before a byte-level piece that has no space before it.
+BARE = "\x1f"
+PIECES, FINE = 400_000, 500_000
+
+
+def _alphabet() -> dict[int, int]:
+    """Byte-level tokenizers write each byte as a character: printable Latin-1 as itself, the rest from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+ALPHABET = _alphabet()
+_open: dict[tuple[int, str], "WordMemo"] = {}
 
 
 class WordMemo:
-    def __init__(self, spec: str, kind: str, most: int = MEMO):
+    def __init__(self, spec: str, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
         self.library.encode_special_tokens = True
-        self.kind, self.most, self.memo = kind, most, {}
-        self.find = (BYTE_WORDS if kind == "byte" else PLAIN_WORDS).findall
+        self.kind, self.runs = kind, RUNS[kind]
+        self.memo: dict[str, bytes] = {}
+        self.fine: dict[str, bytes] = {}
+
+    def pieces(self, text: str) -> list[str] | None:
+        if ODD.search(text):
+            return None
+        if self.kind == "plain":
+            return text.split()
+        if "  " in text:
+            return [p[1:] if p[0] == " " and len(p) > 1 else BARE + p for p in BYTE_PIECES(text)]
+        pieces = text.split(" ")
+        pieces[0] = BARE + pieces[0]
+        return pieces
+
+    def learn(self, new: set[str]) -> None:
+        """Ids of pieces not yet known."""
+        cut: list[tuple[str, list[str] | None]] = []
+        whole: list[str] = []
+        for piece in new:
+            text = (piece[1:] if piece[0:1] == BARE else " " + piece) if self.kind == "byte" else piece
+            runs = self.runs(text)
+            if sum(map(len, runs)) != len(text) or "\n\n" in text:
+                runs = None
+                whole.append(text)
+            cut.append((piece, runs))
+        if len(self.memo) + len(new) > PIECES:
+            self.memo.clear()
+        other = dict(zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False), strict=True)) if whole else {}
+        fine, memo, one = self.fine, self.memo, self.run
+        for piece, runs in cut:
+            if runs is None:
+                text = (piece[1:] if piece[0:1] == BARE else " " + piece) if self.kind == "byte" else piece
+                memo[piece] = array("I", other[text].ids).tobytes()
+            elif len(runs) == 1:
+                memo[piece] = fine.get(runs[0]) or one(runs[0])
+            else:
+                memo[piece] = b"".join([fine.get(r) or one(r) for r in runs])
 
-    def learn(self, new: list[str]) -> None:
-        memo = self.memo
-        if len(memo) + len(new) > self.most:
-            memo.clear()
-        for word, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[word] = array("I", e.ids).tobytes()
+    def run(self, run: str) -> bytes:
+        """Ids of one run, which the library's splitter leaves whole: its model alone is asked."""
+        if len(self.fine) >= FINE:
+            self.fine.clear()
+        text = run if self.kind == "byte" else run.lower() if run.isascii() else self.library.normalizer.normalize_str(run)
+        tokens = self.library.model.tokenize(text.encode().decode("latin-1").translate(ALPHABET))
+        self.fine[run] = ids = array("I", [t.id for t in tokens]).tobytes()
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for i in range(0, len(texts), 64):
-            split = [None if self.kind == "byte" and ODD.search(t) else self.find(t) for t in texts[i : i + 64]]
-            new = set().union(*(x for x in split if x)).difference(self.memo)
+            split = list(map(self.pieces, texts[i : i + 64]))
+            known = [None if x is None else list(map(self.memo.get, x)) for x in split]
+            new: set[str] = set()
+            for x, v in zip(split, known, strict=True):
+                if v is not None and None in v:
+                    new.update(p for p, ids in zip(x, v, strict=True) if ids is None)
             if new:
-                whole = len(self.memo) + len(new) > self.most
-                self.learn(list(set().union(*(x for x in split if x))) if whole else list(new))
-            get = self.memo.__getitem__
-            for t, x in zip(texts[i : i + 64], split, strict=True):
-                out.append(b"".join(map(get, x)) if x is not None else array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes())
+                if len(self.memo) + len(new) > PIECES:
+                    new = set().union(*(x for x in split if x is not None))
+                self.learn(new)
+            for t, x, v in zip(texts[i : i + 64], split, known, strict=True):
+                if x is None:
+                    out.append(array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes())
+                elif None in v:
+                    out.append(b"".join(map(self.memo.__getitem__, x)))
+                else:
+                    out.append(b"".join(v))
         return out
 
 
 def encoder(spec: str, kind: str) -> WordMemo:
     """One memo for each worker process and tokenizer, kept from task to task."""
-    key = (spec[:0] + str(hash(spec)), kind)
+    key = (hash(spec), kind)
     if key not in _open:
         _open[key] = WordMemo(spec, kind)
     return _open[key]

@@ -26,6 +26,25 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op2_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentence_piece import digests
+
+    return digests(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op3_binary_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .binary_topk import codes, top_k
+
+    base = codes(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(base, base.where("id % 20 = 0"), k=10)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -45,13 +64,39 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("kept_md5"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_sentence_piece": op2_sentence_piece,
+    "op3_binary_topk": op3_binary_topk,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_store": op5_token_store,
     "op7_line_dedup": op7_line_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.component_id, e.vec_id) AS component_id, coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    "op3_binary_topk": r"""
+WITH p AS (SELECT q.vec_id AS query_id, b.vec_id AS id,
+  len(list_filter(range(1, len(q.embedding) + 1), lambda i: (q.embedding[i] > 0) <> (b.embedding[i] > 0)))::INTEGER AS distance
+  FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id AND len(q.embedding) = len(b.embedding) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INTEGER AS rank, id, distance FROM p)
+SELECT query_id, rank, id, distance FROM r WHERE rank <= 10""",
     "op7_line_dedup": r"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 k AS (SELECT *, trim(line, chr(32) || chr(9) || chr(13)) AS t FROM l),
