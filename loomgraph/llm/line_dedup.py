@@ -48,14 +48,14 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     tuned(docs.sparkSession)
     bad = written(shared_lines(docs, min_sites), "boilerplate")
     names = [c for c in docs.columns if c != "line_dedup"]
-    line = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("_line")).where(~_blank(F.col("_line"))).select("doc_id", _key(F.col("_line")).alias("h")).distinct()
-    held = line.join(bad, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("_bad")).withColumnRenamed("doc_id", "_id")
-    rows = docs.select(*names).join(held, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    line = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("__loom_line")).where(~_blank(F.col("__loom_line"))).select("doc_id", _key(F.col("__loom_line")).alias("h")).distinct()
+    held = line.join(bad, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("__loom_bad")).withColumnRenamed("doc_id", "__loom_id")
+    rows = docs.select(*names).join(held, F.col("doc_id").eqNullSafe(F.col("__loom_id")), "left").drop("__loom_id")
     lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("_bad"), _key(x))))
-    rows = rows.withColumn("_lines", lines).withColumn("_kept", kept)
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    stats = F.struct(F.greatest(n, F.lit(0)).cast("long").alias("n_lines"), F.greatest(n - F.coalesce(F.size("_kept"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))
+    kept = F.when(F.col("__loom_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("__loom_bad"), _key(x))))
+    rows = rows.withColumn("__loom_lines", lines).withColumn("__loom_kept", kept)
+    n = F.coalesce(F.size("__loom_lines"), F.lit(0))
+    stats = F.struct(F.greatest(n, F.lit(0)).cast("long").alias("n_lines"), F.greatest(n - F.coalesce(F.size("__loom_kept"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))
     rows = rows.withColumn("line_dedup", F.when(F.col("text").isNull(), F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).otherwise(stats))
-    rows = rows.withColumn("text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
+    rows = rows.withColumn("text", F.when(F.col("__loom_bad").isNull(), F.col("text")).otherwise(F.array_join("__loom_kept", "\n")))
     return rows.select(*names, "line_dedup")

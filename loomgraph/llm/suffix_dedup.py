@@ -409,7 +409,7 @@ def repeat_report(docs: DataFrame) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, at whole characters; all columns stay."""
-    report = find_repeats(docs, with_text=True).where("kept is not null").select(F.col("rid").alias("_rid"), F.col("kept").alias("_kept"))
+    report = find_repeats(docs, with_text=True).where("kept is not null").select(F.col("rid").alias("__loom_rid"), F.col("kept").alias("__loom_kept"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), text)).join(report, F.col("_row") == F.col("_rid"), "left")
-    return rows.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    rows = docs.withColumn("__loom_row", F.xxhash64(F.col("doc_id").cast("long"), text)).join(report, F.col("__loom_row") == F.col("__loom_rid"), "left")
+    return rows.withColumn("text", F.coalesce("__loom_kept", "text")).select(*docs.columns)
