@@ -1,8 +1,74 @@
-"""The corpus pipeline; its stages follow with the operators they call."""
+"""The corpus pipeline: documents in, packed training sequences out.
 
-STAGES: list = []
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a
+DataFrame, which ``run`` writes as Parquet in the shared folder and reads again as the
+next stage's documents.  All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.llm.common import scratch
+from loomgraph.llm.line_dedup import line_dedup
+from loomgraph.llm.packing import pack
+from loomgraph.llm.queries import tokenizer
+from loomgraph.llm.set_join import near_sets
+from loomgraph.llm.suffix_dedup import suffix_dedup
+from loomgraph.llm.toxicity import toxicity
+
+#: SQL can express neither the learned scores nor the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _sized(docs: DataFrame) -> DataFrame:
+    """``n_chars`` follows the text, where there is such a column."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go.  Rows without a doc_id are kept, as no score can be joined to them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity(docs, labels).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
+    return docs.join(scored, docs["doc_id"].cast("long") == scored["doc_id"], "left_anti")
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go; all documents stay."""
+    return _sized(line_dedup(docs).select(*docs.columns))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays; of rows repeated as they are, one."""
+    groups = near_sets(docs)
+    rest = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__loom_id")).distinct()
+    kept = docs.join(rest, docs["doc_id"].cast("long") == rest["__loom_id"], "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut out; all documents stay."""
+    return _sized(suffix_dedup(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, tokenizer("byte_bpe_50k.json"), sequence=1024, end_id=2)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_shared_lines),
+    ("near_copies", drop_near_copies),
+    ("suffix_dedup", drop_repeats),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
