@@ -38,7 +38,9 @@ from .common import tuned
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 SPACE = "▁"
-MEMO = 300_000
+MEMO = 1_000_000
+MARKS = r"!-/:-@\[-`{-~"
+MARK, LETTER = re.compile(f"[{MARKS}]"), re.compile(f"[^{MARKS}{SPACE}]")
 LONG = 48
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -119,7 +121,14 @@ class Model:
             raise ValueError("two pieces share a hash")
         self.least = min((p[1] for p in pieces if p[2] == NORMAL), default=0.0)
         self.independent = not any(SPACE in p.lstrip(SPACE) or "\n" in p[1:] or p[0] == "\n" and len(p) > 1 for p in self.ids)
-        self.find = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
+        # where no piece has both letters and marks, a word ends where its letters do; a character
+        # that shares a piece with marks counts as a mark
+        mixed = [p for p in self.ids if LETTER.search(p) and MARK.search(p)]
+        marks = MARKS + re.escape("".join({c for p in mixed for c in LETTER.findall(p)}))
+        letter, mark = re.compile(f"[^{marks}{SPACE}]"), re.compile(f"[{marks}]")
+        apart = self.independent and not any(letter.search(p) and mark.search(p) for p in self.ids)
+        inside = f"{SPACE}*[{marks}]+|{SPACE}*[^{SPACE}\n{marks}]+" if apart else f"{SPACE}*[^{SPACE}\n]+"
+        self.find = re.compile(f"\n|{inside}|{SPACE}+").findall
         self.memo: dict[str, bytes] = {}
         self.text = [bytes([int(p[0][3:5], 16)]) if p[2] == BYTE else b"" if p[2] == CONTROL else " ⁇ ".encode() if p[2] == UNKNOWN else p[0].replace(SPACE, " ").encode() for p in pieces]
 
@@ -143,8 +152,8 @@ class Model:
         np.cumsum((chars + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * self.up[:n], 1, out=h[:, 1:])
         return h
 
-    def merge(self, words: list[str]) -> list[list[tuple[int, int, int]]]:
-        """BPE for words of one length: (start, end, piece id or -1) of each symbol."""
+    def merge(self, words: list[str]) -> list[bytes]:
+        """BPE ids for words of one length."""
         n = len(words[0])
         h = self._prefixes(words)
         done: list = [None] * len(words)
@@ -159,8 +168,17 @@ class Model:
         while len(row):
             best = pair.argmax(1) if pair.shape[1] else np.zeros(len(row), np.int64)
             live = pair[np.arange(len(row)), best] > -np.inf if pair.shape[1] else np.zeros(len(row), bool)
-            for i in np.flatnonzero(~live):
-                done[row[i]] = bounds[i].copy()
+            if not live.all():
+                ended, at = row[~live], bounds[~live]
+                lo, hi = at[:, :-1], at[:, 1:]
+                found = self.probe((h[ended[:, None], hi] - h[ended[:, None], lo]) * self.down[lo])
+                raw, size = found.astype("<u4").tobytes(), 4 * found.shape[1]
+                whole = found.min(1) >= 0
+                for i, (r, sound) in enumerate(zip(ended.tolist(), whole.tolist(), strict=True)):
+                    if sound:
+                        done[r] = raw[i * size : (i + 1) * size]
+                    else:
+                        done[r] = self.ids_of(words[r], list(zip(lo[i].tolist(), hi[i].tolist(), found[i].tolist(), strict=True)))
             row, bounds, pair, best = row[live], bounds[live], pair[live], best[live]
             if not len(row):
                 break
@@ -175,14 +193,22 @@ class Model:
                 if len(i):
                     a = at[i]
                     pair[i, a] = rank(row[i], bounds[i, a], bounds[i, a + 2])
-        return [self._symbols(h[i], b) for i, b in enumerate(done)]
-
-    def _symbols(self, h, b) -> list[tuple[int, int, int]]:
-        lo, hi = b[:-1], b[1:]
-        return list(zip(lo.tolist(), hi.tolist(), self.probe((h[hi] - h[lo]) * self.down[lo]).tolist(), strict=True))
-
-    def viterbi(self, words: list[str]) -> list[list[tuple[int, int, int]]]:
-        """Unigram for words of one length: the path with the greatest sum of scores."""
+        return done
+
+    def ids_of(self, word: str, path: list[tuple[int, int, int]]) -> bytes:
+        """Ids of a word from the (start, end, piece id or -1) of its symbols."""
+        ids: list[int] = []
+        for lo, hi, found in path:
+            if found >= 0:
+                ids.append(found)
+            elif self.bytes:
+                ids += [self.bytes[b] for b in word[lo:hi].encode("utf-8", "surrogatepass")]
+            elif not ids or ids[-1] != self.unknown:
+                ids.append(self.unknown)
+        return array("I", ids).tobytes()
+
+    def viterbi(self, words: list[str]) -> list[bytes]:
+        """Unigram ids for words of one length: the path with the greatest sum of scores."""
         n, rows = len(words[0]), len(words)
         h = self._prefixes(words)
         best = np.full((rows, n + 1), -np.inf)
@@ -204,10 +230,10 @@ class Model:
             while end:
                 path.append((int(back[i, end]), end, int(piece[i, end])))
                 end = int(back[i, end])
-            out.append(path[::-1])
+            out.append(self.ids_of(words[i], path[::-1]))
         return out
 
-    def long_merge(self, word: str) -> list[tuple[int, int, int]]:
+    def long_merge(self, word: str) -> bytes:
         """BPE of one long segment with a heap of pairs."""
         n = len(word)
         left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
@@ -235,9 +261,9 @@ class Model:
             push(i)
             if left[i] >= 0:
                 push(left[i])
-        return [(i, end[i], self.ids.get(word[i : end[i]], -1)) for i in range(n) if alive[i]]
+        return self.ids_of(word, [(i, end[i], self.ids.get(word[i : end[i]], -1)) for i in range(n) if alive[i]])
 
-    def long_viterbi(self, word: str) -> list[tuple[int, int, int]]:
+    def long_viterbi(self, word: str) -> bytes:
         best, back = [0.0], [(0, 0)]
         for end in range(1, len(word) + 1):
             options = [(best[end - 1] + self.least - 10.0, end - 1, -1)] if word[end - 1] not in self.ids else []
@@ -252,7 +278,7 @@ class Model:
         while end:
             path.append((back[end][0], end, back[end][1]))
             end = back[end][0]
-        return path[::-1]
+        return self.ids_of(word, path[::-1])
 
     def learn(self, segments: list[str]) -> None:
         if len(self.memo) + len(segments) > MEMO:
@@ -262,16 +288,7 @@ class Model:
             by.setdefault(len(s), []).append(s)
         together, alone = (self.merge, self.long_merge) if self.kind == BPE else (self.viterbi, self.long_viterbi)
         for n, group in by.items():
-            for s, path in zip(group, together(group) if n <= LONG else map(alone, group), strict=True):
-                ids: list[int] = []
-                for lo, hi, found in path:
-                    if found >= 0:
-                        ids.append(found)
-                    elif self.bytes:
-                        ids += [self.bytes[b] for b in s[lo:hi].encode("utf-8", "surrogatepass")]
-                    elif not ids or ids[-1] != self.unknown:
-                        ids.append(self.unknown)
-                self.memo[s] = array("I", ids).tobytes()
+            self.memo.update(zip(group, together(group) if n <= LONG else map(alone, group), strict=True))
 
     def normalize(self, text: str) -> str:
         if self.squeeze:
