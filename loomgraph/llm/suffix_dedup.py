@@ -13,7 +13,8 @@ document of smaller doc_id, or earlier in the same one.
    ranks at offset 25 are dealt by value and sorted, which ranks 50 bytes; positions whose
    rank is unique drop out; the pairs of ranks at offset 50 are sorted in turn, which
    ranks 100 bytes, past the threshold; of equal pairs the earliest position stays, and
-   the others start a removed string.
+   the others start a removed string.  Ranks that occur in one slice alone are settled
+   there; only pairs of ranks that slices share travel in the second round.
 
 Each slice of documents (``SLICE`` bytes; a longer document stands alone) sends one entry
 for each distinct pair, with its earliest position, so that a passage that a third of all
@@ -36,14 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_bytes, tuned, written
+from .common import fold, forget, partitions, scratch, text_bytes, tuned, written
 from .hashing import BASE, buffers, mix, prefix_hash, powers, slices, sliding_min
 from .set_join import _grouped
 
 LENGTH, HALF, QUARTER = 100, 50, 25
 SLICE = 2 << 20
+#: Bytes of affected text for each bucket of ranks; there are 65,536 buckets at most, as half a rank's key.
 BUCKET = 3_000_000
-LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+LAST = np.uint32(0xFFFFFFFF)
+#: Marks ranks that one slice alone holds.
+OWN = np.uint64(1 << 63)
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -59,7 +63,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if n < LENGTH:
         return np.zeros(0, np.int64)
     h = prefix_hash(buf)
-    x = mix((h[HALF:] - h[:-HALF]) * powers("down", n + 1)[: n - HALF + 1]) >> np.uint64(1)
+    x = (((h[HALF:] - h[:-HALF]) * powers("down", n + 1)[: n - HALF + 1]) >> np.uint64(32)).astype(np.uint32)
     size = np.diff(offsets)
     border = np.zeros(n + 1, np.int32)  # strings that reach over a document's end, and short documents
     lo = np.where(size < LENGTH, offsets[:-1], offsets[1:] - HALF + 1)
@@ -75,7 +79,8 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def repeated_anchors(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """rid and blobs of the positions of anchors that unlike documents share, or one holds twice."""
+    """rid, blobs of the positions of anchors that unlike documents share or one holds twice, and
+    the least of those anchors' hashes, which near copies tend to have in common."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
@@ -99,9 +104,9 @@ def repeated_anchors(rows: DataFrame, n_buckets: int) -> DataFrame:
                 back = np.lexsort((place[many], doc[many]))
                 out = []
                 if many.any():
-                    d, p = doc[many][back], place[many][back]
+                    d, p, k = doc[many][back], place[many][back], name[many][back]
                     names, c = np.unique(d, return_counts=True)
-                    out.append((turn % n_buckets, b"", b"", b"", b"", b"", rid[i:j][names].tobytes(), c.astype(np.uint32).tobytes(), p.astype(np.uint32).tobytes()))
+                    out.append((turn % n_buckets, b"", b"", b"", b"", b"", rid[i:j][names].tobytes(), c.astype(np.uint32).tobytes(), p.astype(np.uint32).tobytes(), k.astype(np.uint32).tobytes()))
                     turn += 1
                 once = name[start[several]]
                 name, doc, place = name[~many], doc[~many], place[~many]
@@ -110,12 +115,12 @@ def repeated_anchors(rows: DataFrame, n_buckets: int) -> DataFrame:
                 bucket = (name >> np.uint64(32)) % np.uint64(n_buckets)
                 for k, ix, v in _grouped(np.arange(len(name)), name, bucket):
                     names, c = np.unique(doc[ix], return_counts=True)
-                    out.append((k, v.astype(np.uint32).tobytes(), rid[i:j][names].tobytes(), cid[i:j][names].tobytes(), c.astype(np.uint32).tobytes(), place[ix].astype(np.uint32).tobytes(), b"", b"", b""))
+                    out.append((k, v.astype(np.uint32).tobytes(), rid[i:j][names].tobytes(), cid[i:j][names].tobytes(), c.astype(np.uint32).tobytes(), place[ix].astype(np.uint32).tobytes(), b"", b"", b"", b""))
                 for k, _, v in _grouped(np.zeros(len(once), np.int64), once, (once >> np.uint64(32)) % np.uint64(n_buckets)):
-                    out.append((k, v.astype(np.uint32).tobytes(), b"", b"", b"", b"", b"", b"", b""))
+                    out.append((k, v.astype(np.uint32).tobytes(), b"", b"", b"", b"", b"", b"", b"", b""))
                 if out:
                     cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "h", "rid", "cid", "count", "place", "known", "kcount", "kplace"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "h", "rid", "cid", "count", "place", "known", "kcount", "kplace", "kname"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         def joined(c, kind):
@@ -139,16 +144,20 @@ def repeated_anchors(rows: DataFrame, n_buckets: int) -> DataFrame:
             e = e[np.repeat(several, np.diff(np.append(start, len(s))))]
             found = np.sort(e[e >= 0])
         docs, places = rid[owner[found]], place[found]
+        hashed = np.zeros(len(place), np.uint32)
+        hashed[entry[mine]] = h[mine]
+        ids = (mix(hashed[found].astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
         known, kcount = joined("known", np.int64), joined("kcount", np.uint32)
+        ids = np.concatenate((ids, (mix(joined("kname", np.uint32).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)))
         docs, places = np.concatenate((docs, np.repeat(known, kcount))), np.concatenate((places, joined("kplace", np.uint32)))
         order = np.argsort(docs, kind="stable")
-        docs, places = docs[order], places[order]
+        docs, places, ids = docs[order], places[order], ids[order]
         names, at = np.unique(docs, return_index=True)
         cut = np.append(at, len(docs))
-        return pd.DataFrame({"rid": names.astype(np.int64), "places": [places[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]})
+        return pd.DataFrame({"rid": names.astype(np.int64), "places": [places[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], "least": np.minimum.reduceat(ids, at) if len(at) else np.zeros(0, np.int64)})
 
-    schema = "bucket int, h binary, rid binary, cid binary, count binary, place binary, known binary, kcount binary, kplace binary"
-    return rows.select("rid", "cid", "text").mapInArrow(spread, schema).groupBy("bucket").applyInPandas(meet, "rid long, places binary")
+    schema = "bucket int, h binary, rid binary, cid binary, count binary, place binary, known binary, kcount binary, kplace binary, kname binary"
+    return rows.select("rid", "cid", "text").mapInArrow(spread, schema).groupBy("bucket").applyInPandas(meet, "rid long, places binary, least long")
 
 
 def sliced(affected: DataFrame) -> DataFrame:
@@ -225,12 +234,13 @@ class Slice:
     def pairs(self, n_buckets: int, ranks: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
         """For starts whose halves both repeat: the distinct pairs' ranks, earliest start, bucket; and
         of each start its pair's number and itself."""
-        _, _, bucket, place = self.names(n_buckets)
-        rank = np.zeros(len(bucket), np.uint64)
+        _, twice, bucket, place = self.names(n_buckets)
+        rank = np.where(twice, OWN | np.arange(1, len(bucket) + 1, dtype=np.uint64), np.uint64(0))
         for k, raw in ranks:
             lo, hi = np.searchsorted(bucket, k, "left"), np.searchsorted(bucket, k, "right")
-            r = np.frombuffer(raw, np.uint32).astype(np.uint64)
-            rank[lo:hi] = np.where(r > 0, (np.uint64(k) << np.uint64(32)) | r, 0)
+            bits = -(-int(hi - lo) // 8)
+            at = lo + np.flatnonzero(np.unpackbits(np.frombuffer(raw[:bits], np.uint8), count=int(hi - lo)))
+            rank[at] = (np.uint64(k) << np.uint64(32)) | np.frombuffer(raw[bits:], np.uint32).astype(np.uint64)
         full = np.zeros(len(self.buf) + 1, np.uint64)
         full[self.ranked] = rank[place]
         one, two = full[self.start], full[self.start + HALF]
@@ -241,8 +251,9 @@ class Slice:
         new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) if len(one) else np.zeros(0, bool)
         number = np.cumsum(new) - 1
         one, two, earliest = one[new], two[new], start[new]
-        to = mix(one * BASE + two) % np.uint64(n_buckets)
-        by = np.argsort(to, kind="stable")
+        # pairs with a rank of this slice's own stay here: bucket -1
+        to = np.where((one | two) & OWN > 0, -1, (mix(one * BASE + two) % np.uint64(n_buckets)).astype(np.int64))
+        by = np.lexsort((earliest, to))
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
         return one[by], two[by], earliest[by], to[by], place[number] if len(number) else number, start
@@ -260,36 +271,35 @@ COLUMNS = ["slice", "rid", "ord", "size", "text", "n", "places"]
 
 
 def rank_halves(slices_: DataFrame, n_buckets: int) -> DataFrame:
-    """slice and [(bucket, ranks)]: for the slice's distinct 50-byte strings, in order, the rank among
-    those that occur twice, 0 for unique ones."""
+    """slice and [(bucket, ranks)]: for the slice's distinct 50-byte strings, in order, a bit for those
+    that other slices hold too, and the ranks of these."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, s in _open(b):
-                values, twice, bucket, _ = s.names(n_buckets)
+                values, _, bucket, _ = s.names(n_buckets)
                 out = []
                 cut = np.flatnonzero(np.diff(bucket)) + 1
-                for v, t, k in zip(np.split(values, cut), np.split(twice, cut), bucket[np.concatenate(([0], cut))] if len(bucket) else [], strict=False):
-                    out.append((int(k), name, v.tobytes(), t.tobytes()))
+                for v, k in zip(np.split(values, cut), bucket[np.concatenate(([0], cut))] if len(bucket) else [], strict=False):
+                    out.append((int(k), name, v.tobytes()))
                 if out:
                     cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["bucket", "slice", "names", "twice"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["bucket", "slice", "names"])
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.frombuffer(b"".join(pdf["names"]), np.uint64)
-        twice = np.frombuffer(b"".join(pdf["twice"]), bool)
         order = np.argsort(names, kind="stable")
         s = names[order]
         start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         count = np.diff(np.append(start, len(s)))
-        again = (count > 1) | np.logical_or.reduceat(twice[order], start)
-        number = np.where(again, np.cumsum(again), 0).astype(np.uint32)
+        shared = count > 1  # a slice sends a name once
+        number = np.where(shared, np.cumsum(shared), 0).astype(np.uint32)
         out = np.empty(len(s), np.uint32)
         out[order] = np.repeat(number, count)
         cut = np.cumsum([len(x) // 8 for x in pdf["names"]])[:-1]
-        return pd.DataFrame({"slice": pdf["slice"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "ranks": [x.tobytes() for x in np.split(out, cut)]})
+        return pd.DataFrame({"slice": pdf["slice"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "ranks": [np.packbits(x > 0).tobytes() + x[x > 0].tobytes() for x in np.split(out, cut)]})
 
-    sent = slices_.select(*COLUMNS).mapInArrow(send, "bucket int, slice long, names binary, twice binary")
+    sent = slices_.select(*COLUMNS).mapInArrow(send, "bucket int, slice long, names binary")
     ranked = sent.groupBy("bucket").applyInPandas(rank, "slice long, bucket int, ranks binary")
     return ranked.groupBy("slice").agg(F.collect_list(F.struct("bucket", "ranks")).alias("ranks"))
 
@@ -305,24 +315,27 @@ def later_starts(slices_: DataFrame, n_buckets: int) -> DataFrame:
                 cut = np.flatnonzero(np.diff(bucket)) + 1
                 out = []
                 for ix in np.split(np.arange(len(one)), cut):
-                    if len(ix):
-                        d = doc[ix]
-                        out.append((int(bucket[ix[0]]), name, one[ix].tobytes(), two[ix].tobytes(), s.ord[d].tobytes(), s.rid[d].tobytes(), (at[ix] - s.offsets[d]).astype(np.int64).tobytes()))
+                    if len(ix) and bucket[ix[0]] >= 0:
+                        d = doc[ix]  # ascending, as the entries of a bucket are sorted by start
+                        which, n = np.unique(d, return_counts=True)
+                        high = (one[ix] >> np.uint64(32) << np.uint64(16)) | (two[ix] >> np.uint64(32))
+                        out.append((int(bucket[ix[0]]), name, one[ix].astype(np.uint32).tobytes(), two[ix].astype(np.uint32).tobytes(), high.astype(np.uint32).tobytes(), s.ord[which].tobytes(), s.rid[which].tobytes(), n.astype(np.uint32).tobytes(), (at[ix] - s.offsets[d]).astype(np.uint32).tobytes()))
                 if out:
                     cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["bucket", "slice", "one", "two", "ord", "rid", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["bucket", "slice", "one", "two", "high", "ord", "rid", "n", "at"])
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = (np.frombuffer(b"".join(pdf[c]), np.uint64) for c in ("one", "two"))
-        ord_, rid, at = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("ord", "rid", "at"))
+        one, two, high, n, at = (np.frombuffer(b"".join(pdf[c]), np.uint32) for c in ("one", "two", "high", "n", "at"))
+        one, two = (one.astype(np.uint64) << np.uint64(16)) | (high >> np.uint32(16)), (two.astype(np.uint64) << np.uint64(16)) | (high & np.uint32(0xFFFF))
+        ord_, rid = (np.repeat(np.frombuffer(b"".join(pdf[c]), np.int64), n) for c in ("ord", "rid"))
         order = np.lexsort((at, rid, ord_, two, one))
         a, b = one[order], two[order]
         later = np.empty(len(a), bool)
         later[order] = np.concatenate(([False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
-        cut = np.cumsum([len(x) // 8 for x in pdf["one"]])[:-1]
-        return pd.DataFrame({"slice": pdf["slice"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "later": [x.tobytes() for x in np.split(later, cut)]})
+        cut = np.cumsum([len(x) // 4 for x in pdf["one"]])[:-1]
+        return pd.DataFrame({"slice": pdf["slice"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "later": [np.packbits(x).tobytes() for x in np.split(later, cut)]})
 
-    sent = slices_.select(*COLUMNS, "ranks").mapInArrow(send, "bucket int, slice long, one binary, two binary, ord binary, rid binary, at binary")
+    sent = slices_.select(*COLUMNS, "ranks").mapInArrow(send, "bucket int, slice long, one binary, two binary, high binary, ord binary, rid binary, n binary, at binary")
     return sent.groupBy("bucket").applyInPandas(first, "slice long, bucket int, later binary").groupBy("slice").agg(F.collect_list(F.struct("bucket", "later")).alias("later"))
 
 
@@ -336,11 +349,11 @@ def cut_out(slices_: DataFrame, n_buckets: int, with_text: bool) -> DataFrame:
                 later = np.zeros(len(one), bool)
                 for r in b.column(8)[i].as_py() or []:
                     lo, hi = np.searchsorted(bucket, r["bucket"], "left"), np.searchsorted(bucket, r["bucket"], "right")
-                    later[lo:hi] = np.frombuffer(r["later"], bool)
+                    later[lo:hi] = np.unpackbits(np.frombuffer(r["later"], np.uint8), count=int(hi - lo)).astype(bool)
                 gone = start[later[number] | (start != at[number])] if len(start) else start
                 cover = np.zeros(len(s.buf) + 1, np.int32)
-                np.add.at(cover, gone, 1)
-                np.add.at(cover, gone + LENGTH, -1)
+                cover[gone] += 1  # each start is there once
+                cover[gone + LENGTH] -= 1
                 removed = np.cumsum(cover[:-1]) > 0
                 rows = []
                 for d in range(len(s.rid)):
@@ -376,13 +389,19 @@ def find_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     first = meta.groupBy("sha").agg(F.min(F.struct("ord", "rid")).alias("first"))
     meta = written(meta.join(first, "sha").select("rid", "doc_id", "n_bytes", "sha", (F.col("first.rid") != F.col("rid")).alias("copy")), "contents")
     found = written(repeated_anchors(rows.select("rid", F.xxhash64("text").alias("cid"), "text"), fold(size // 26, BUCKET, least=4)), "anchors")
-    found = found.join(meta.where("copy"), "rid", "left_anti").groupBy("rid").agg(F.collect_list("places").alias("places"))
-    affected = found.join(rows, "rid").groupBy("rid").agg(F.first("ord").alias("ord"), F.first("text").alias("text"), F.first("places").alias("places"))
-    parts = written(sliced(affected), "slices")
+    found = found.join(meta.where("copy"), "rid", "left_anti").groupBy("rid").agg(F.collect_list("places").alias("places"), F.min("least").alias("least"))
+    affected = found.join(rows, "rid").groupBy("rid").agg(F.first("ord").alias("ord"), F.first("text").alias("text"), F.first("places").alias("places"), F.first("least").alias("least"))
+    kept = scratch(spark, "affected")
+    affected = written(affected, "affected", kept)
+    # near copies side by side: a slice then sends most of their strings once
+    parts = written(sliced(affected.repartitionByRange(partitions(spark), "least", "rid").sortWithinPartitions("least", "rid")), "slices")
+    forget(spark, kept)
     held = parts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_buckets = fold(held, BUCKET, least=4)
-    parts = written(parts.join(rank_halves(parts, n_buckets), "slice"), "ranked")
-    parts = parts.join(later_starts(parts, n_buckets), "slice", "left")
+    n_buckets = fold(held, BUCKET, least=4, most=1 << 16)
+    ranks = written(rank_halves(parts, n_buckets), "ranks")
+    parts = parts.join(ranks, "slice")
+    later = written(later_starts(parts, n_buckets), "later")
+    parts = parts.join(later, "slice", "left")
     cut = written(cut_out(parts, n_buckets, with_text), "cut")
     whole = F.col("copy") & (F.col("n_bytes") >= LENGTH)
     out = meta.join(cut, "rid", "left")
