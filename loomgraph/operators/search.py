@@ -114,7 +114,11 @@ def fulltext(graph: Graph, name: str, query: str, options: dict | None = None) -
     terms = list(dict.fromkeys(must + may))
     if not terms:
         return base.select("_id", F.lit(0.0).alias("score")).where(F.lit(False))
-    counts = [F.size(F.filter("_terms", lambda x, t=t: x == t)).alias(f"_c{i}") for i, t in enumerate(terms)]
+
+    def occurrences(t: str) -> F.Column:
+        return F.size(F.filter("_terms", lambda x: x == t))
+
+    counts = [occurrences(t).alias(f"_c{i}") for i, t in enumerate(terms)]
     scored = base.select("_id", "_text", "_terms", "_n", *counts)
     stats = scored.agg(F.count(F.lit(1)).alias("N"), F.avg("_n").alias("L"), *[F.sum((F.col(f"_c{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms))])
     scored = scored.crossJoin(F.broadcast(stats))  # one row

@@ -51,8 +51,11 @@ def possible_types(e: T | None) -> set[str] | None:
 class Matcher:
     def __init__(self, graph: Graph, params: dict, needed: dict[str, set[str] | None]):
         self.graph, self.params, self.needed = graph, params, needed
+        self.whole = False  # while a part is compiled whose path is read element by element
 
     def keep(self, var: str | None) -> set[str] | None:
+        if self.whole:
+            return ALL
         return self.needed.get(var, set()) if var else set()
 
     def match(self, rows: Rows, parts: list[T], repeatable: bool = False) -> Rows:
@@ -68,6 +71,13 @@ class Matcher:
 
     # single parts
     def part(self, rows: Rows, part: T, used: list, repeatable: bool) -> Rows:
+        before, self.whole = self.whole, self.whole or part.path is not None and self.needed.get(part.path, set()) is ALL
+        try:
+            return self.walked(rows, part, used, repeatable)
+        finally:
+            self.whole = before
+
+    def walked(self, rows: Rows, part: T, used: list, repeatable: bool) -> Rows:
         elements = self.normalised(part.elements)
         quantified = any(e.kind == "group" or e.kind == "rel_pat" and (e.legacy or e.quantified) for e in elements)
         nodes = [i for i, e in enumerate(elements) if e.kind == "node_pat"]
