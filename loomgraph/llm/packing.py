@@ -99,11 +99,13 @@ def patterns(n: int) -> np.ndarray:
 
 
 def fit_counts(table: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise the squared misfit of the pattern sums to the
-    histogram: accelerated projected gradients; entry 0 of the histogram is no length."""
+    """Repeat counts x >= 0 that minimise the weighted squared misfit of the pattern sums to
+    the histogram: accelerated projected gradients; entry 0 of the histogram is no length.
+    Long lengths weigh more, as short ones that are left over still fit into gaps."""
     goal = histogram.astype(float)
     goal[0] = 0
     size = len(goal)
+    weight = np.maximum((np.arange(size) / (size - 1)) ** 2, 0.001)
 
     def apply(x):
         out = np.bincount(table.ravel(), weights=np.repeat(x, table.shape[1]), minlength=size)
@@ -112,14 +114,13 @@ def fit_counts(table: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> n
 
     v = np.ones(len(table))
     for _ in range(20):
-        w = apply(v)
-        v = w[table].sum(1)
+        v = (apply(v) * weight)[table].sum(1)
         norm = np.linalg.norm(v)
         v /= norm
     x = y = np.zeros(len(table))
     t = 1.0
     for _ in range(rounds):
-        r = apply(y) - goal
+        r = (apply(y) - goal) * weight
         new = np.maximum(0, y - r[table].sum(1) / (1.05 * norm))
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / s * (new - x)
