@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tuned, written
-from .components import components
+from .components import components, forest
 
 COSINE = 0.93
 MAX_TRAIN = 16_384
@@ -99,22 +99,6 @@ class Index:
         return np.sqrt(np.maximum(out, 0))
 
 
-def forest(q: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) over the nodes q[i], b[j] joined by links: roots are the least names."""
-    names, at = np.unique(np.concatenate((q[i], b[j])), return_inverse=True)
-    x, y = at[: len(i)], at[len(i) :]
-    ends, other = np.concatenate((x, y)), np.concatenate((y, x))
-    order = np.argsort(ends, kind="stable")
-    other, starts = other[order], np.searchsorted(ends[order], np.arange(len(names)))
-    root = np.arange(len(names))
-    while True:
-        new = np.minimum(root, np.minimum.reduceat(root[other], starts))
-        new = new[new]
-        if (new == root).all():
-            return names, names[root]
-        root = new
-
-
 def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of (vec_id, embedding, label)."""
     spark = rows.sparkSession
@@ -209,7 +193,7 @@ def _links(groups: DataFrame, dim: int, cosine: float, r: float) -> DataFrame:
                 continue
             n = np.bincount(x, weights=copies[y], minlength=len(uq)).astype(np.int64)
             linked = np.flatnonzero(n)
-            nodes, roots = forest(rq, rb, x, y)
+            nodes, roots = forest(rq[x], rb[y])
             out.append(pd.DataFrame({"g": gq[linked], "rep": rq[linked], "root": rq[linked], "n": n[linked]}))
             out.append(pd.DataFrame({"g": np.zeros(len(nodes), np.int64), "rep": nodes, "root": roots, "n": np.zeros(len(nodes), np.int64)}))
         return pd.concat(out) if out else none

@@ -12,10 +12,11 @@ exact; every filter is a necessary condition of a link.
    shingle within the first ``n - ceil(0.75 n) + 1`` of each.  An entry has the set's
    size and the shingle's position.
 3. Set relations.  A list is sorted by size and cut into blocks whose sizes can link to
-   the block's first set, the pivot; entries whose positions leave too little room are
-   skipped.  Each set is first compared with the pivot that it meets in most lists, only.
-   Sets linked that way are one component and need no further comparison among
-   themselves, so a group of near copies costs one comparison for each member.
+   each other; entries whose positions leave too little room are skipped.  Each round
+   draws a pivot for each block, and a set is compared with the pivots of another
+   component that it meets in most and in fewest lists, only.  Sets linked that way are
+   one component and need no further comparison among themselves, so a group of near
+   copies costs a few comparisons for each member.
 4. Derived answers.  For two sets of different components that meet in a list and know
    their overlaps with one pivot, the pivot's answers bound theirs:
    ``|x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|)``.  What this and the size
@@ -25,7 +26,7 @@ Hashes have 64 bits; the verdict on a pair could only be wrong if two different
 of these two documents collided.
 
 Defined results: null or empty text, and text without words, has an empty set and links
-with nothing, as does a null doc_id (its component is null); rows may repeat; rows of one
+with nothing, as does a row without doc_id (its set is not built: 0 and null); rows may repeat; rows of one
 doc_id are one document; other columns are ignored.
 """
 
@@ -45,10 +46,11 @@ from .hashing import buffers, distinct, mix, shingles, slices
 
 NUMERATOR, DENOMINATOR = 75, 100
 WORDS = 5
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Shingles in a bucket, on average.
-BUCKET = 3_000_000
-STAR_ROUNDS = 2
+BUCKET = 1_500_000
+#: Rounds of comparing sets with pivots; fewer where a round finds no link.
+STAR_ROUNDS = 6
 _SALT = np.uint64(0x51ED2700A5B3C6D9)
 
 
@@ -68,10 +70,12 @@ def with_row_id(docs: DataFrame) -> DataFrame:
 
 def _grouped(owner: np.ndarray, values: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(bucket, owners, values) with owners in order."""
+    if not len(values):
+        return
     order = np.argsort(bucket, kind="stable")
     owner, values, bucket = owner[order], values[order], bucket[order]
     cut = np.flatnonzero(np.diff(bucket)) + 1
-    for o, v, b in zip(np.split(owner, cut), np.split(values, cut), bucket[np.concatenate(([0], cut))] if len(bucket) else [], strict=True):
+    for o, v, b in zip(np.split(owner, cut), np.split(values, cut), bucket[np.concatenate(([0], cut))], strict=True):
         yield int(b), o, v
 
 
@@ -141,12 +145,21 @@ def sharing(rows: DataFrame, n_buckets: int) -> DataFrame:
         names = np.concatenate(who) if who else np.zeros(0, np.int64)
         hit = np.flatnonzero(count)
         zero = np.zeros(len(hit), np.int64)
-        return pd.DataFrame({"rid": np.concatenate((rid, names[hit])), "n": np.concatenate((n, zero)), "key": np.concatenate((key, zero)), "dup": np.concatenate((local, count[hit]))})
+        rid, n, key, dup = np.concatenate((rid, names[hit])), np.concatenate((n, zero)), np.concatenate((key, zero)), np.concatenate((local, count[hit]))
+        return pd.DataFrame(_parted(rid, n_buckets, rid, n, key, dup), columns=["part", "rid", "n", "key", "dup"])
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        # of rows of one rid, each gives its own n and key, which are equal; other buckets give zeros
+        rid, n, key, dup = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("rid", "n", "key", "dup"))
+        order = np.lexsort((n, rid))
+        rid, n, key, dup = rid[order], n[order], key[order], dup[order]
+        start = np.flatnonzero(np.concatenate(([True], rid[1:] != rid[:-1])))
+        last = np.append(start[1:], len(rid)) - 1
+        return pd.DataFrame({"rid": rid[start], "n": n[last], "key": key[last], "dup": np.add.reduceat(dup, start)})
 
     spread_rows = rows.select("rid", "text").mapInArrow(spread, "bucket int, h binary, who binary, count binary, rid binary, n binary, key binary, local binary")
-    met = spread_rows.groupBy("bucket").applyInPandas(meet, "rid long, n long, key long, dup long")
-    # of rows of one rid, each gives its own n and key, which are equal; other buckets give zeros
-    return met.groupBy("rid").agg(F.max("n").alias("n"), F.max(F.struct("n", "key"))["key"].alias("key"), F.sum("dup").alias("dup"))
+    met = spread_rows.groupBy("bucket").applyInPandas(meet, "part int, rid binary, n binary, key binary, dup binary")
+    return met.groupBy("part").applyInPandas(total, "rid long, n long, key long, dup long")
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
@@ -198,32 +211,66 @@ def rare_first(sets: DataFrame, n_buckets: int) -> DataFrame:
         df = count[back]
         keep = df > 1
         h, rid, df = h[keep], rid[keep], df[keep]
-        order = np.argsort(rid, kind="stable")
-        h, rid, df = h[order], rid[order], df[order]
+        rows = _parted(rid, n_buckets, rid, h, df.astype(np.int64))
+        return pd.DataFrame(rows, columns=["part", "rid", "h", "df"])
+
+    shared = dealt.groupBy("bucket").applyInPandas(frequency, "part int, rid binary, h binary, df binary")
+    sizes = sets.select("rid", "n").mapInArrow(lambda x: _sizes(x, n_buckets), "part int, rid binary, n binary")
+
+    def order(shared: pd.DataFrame, sizes: pd.DataFrame) -> pd.DataFrame:
+        """A part's sets: their shared shingles, no more than the sets themselves, rarest first."""
+        rid, df = (np.frombuffer(b"".join(shared[c]), np.int64) for c in ("rid", "df"))
+        h = np.frombuffer(b"".join(shared["h"]), np.uint64)
+        known, n = (np.frombuffer(b"".join(sizes[c]), np.int64) for c in ("rid", "n"))
+        by = np.argsort(known)
+        known, n = known[by], n[by]
+        by = np.lexsort((h, df, rid))
+        rid, h = rid[by], h[by]
         names, at = np.unique(rid, return_index=True)
         cut = np.append(at, len(rid))
-        return pd.DataFrame({"rid": names, "h": [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], "df": [df[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+        out = []
+        for name, a, b, size in zip(names.tolist(), cut[:-1], cut[1:], n[np.searchsorted(known, names)].tolist() if len(names) else [], strict=True):
+            unique = size - int(b - a)
+            room = int(prefix(np.array(size))) - unique
+            if room > 0:
+                out.append((name, h[a : min(b, a + room)].tobytes(), size, unique))
+        return pd.DataFrame(out, columns=["rid", "h", "n", "first"]).astype({"rid": "int64", "n": "int64", "first": "int64"})
 
-    shared = dealt.groupBy("bucket").applyInPandas(frequency, "rid long, h binary, df binary")
-    # a set's shared shingles from all buckets: no more than the set itself
-    whole = shared.groupBy("rid").agg(F.collect_list(F.struct("h", "df")).alias("parts")).join(sets.select("rid", "n"), "rid")
+    return shared.groupBy("part").cogroup(sizes.groupBy("part")).applyInPandas(order, "rid long, h binary, n long, first long")
+
+
+def _parted(key: np.ndarray, n_parts: int, *columns: np.ndarray) -> list[tuple]:
+    """(part, blobs of the columns), dealt by key."""
+    part = (mix(key.view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(n_parts + 1))
+    return [(p, *(c[order[a:b]].tobytes() for c in columns)) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+
+
+def _sizes(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = _parted(b.column(0).to_numpy(), n_parts, b.column(0).to_numpy(), b.column(1).to_numpy())
+        if rows:
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "rid", "n"])
 
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rid, first, listed, sizes = [], [], [], []
-            for r, parts, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                h = np.frombuffer(b"".join(p["h"] for p in parts), np.uint64)
-                df = np.frombuffer(b"".join(p["df"] for p in parts), np.int64)
-                unique = n - len(h)
-                room = int(prefix(np.array(n))) - unique
-                if room > 0 and len(h):
-                    rid.append(r)
-                    sizes.append(n)
-                    first.append(unique)
-                    listed.append(h[np.lexsort((h, df))[:room]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(listed, pa.binary()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64())], ["rid", "h", "n", "first"])
-
-    return whole.select("rid", "parts", "n").mapInArrow(order, "rid long, h binary, n long, first long")
+
+def _merged_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Distinct pairs of one part."""
+    a, b = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("a", "b"))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+    return pd.DataFrame({"a": a[keep], "b": b[keep]})
+
+
+def _remaining_of(n_parts: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = remaining(pdf)
+        a, b = found["a"].to_numpy(np.int64), found["b"].to_numpy(np.int64)
+        return pd.DataFrame(_parted(a, n_parts, a, b), columns=["part", "a", "b"])
+
+    return run
 
 
 def _lists(pdf: pd.DataFrame, names: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -240,28 +287,41 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return frame.groupby(["a", "b"], as_index=False).size().rename(columns={"size": "votes"})
 
 
-def stars(pdf: pd.DataFrame) -> pd.DataFrame:
+def stars(pdf: pd.DataFrame, turn: int) -> pd.DataFrame:
     """(a, b, votes): each entry with its block's pivot, where they may link and are not yet of one component."""
     (h, rid, n, place, first, comp), lists = _lists(pdf, ["place", "first", "comp"])
     none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "votes": np.zeros(0, np.int64)})
     if not len(h):
         return none
     starts = np.flatnonzero(np.concatenate(([True], np.diff(lists) > 0)))
-    pivot = starts[lists]
+    block = starts[lists]
     while True:  # the sets too large for a block begin the next one
-        late = n[pivot] * DENOMINATOR < NUMERATOR * n
+        late = n[block] * DENOMINATOR < NUMERATOR * n
         if not late.any():
             break
         at = np.where(late, np.arange(len(h)), len(h))
-        group = np.unique(pivot, return_inverse=True)[1]
+        group = np.unique(block, return_inverse=True)[1]
         nxt = np.full(group.max() + 1, len(h))
         np.minimum.at(nxt, group, at)
-        pivot = np.where(late, nxt[group], pivot)
+        block = np.where(late, nxt[group], block)
+    # the pivot of a block: another one in each round, the same in all lists that hold the same sets
+    draw = mix(rid.view(np.uint64) ^ np.uint64(turn * 0x9E37 + 1))
+    order = np.lexsort((draw, block))
+    head = np.flatnonzero(np.concatenate(([True], np.diff(block[order]) > 0)))
+    pivot = np.empty(len(h), np.int64)
+    pivot[order] = np.repeat(order[head], np.diff(np.append(head, len(h))))
     room = np.minimum(n[pivot] - first[pivot] - place[pivot], n - first - place)
     keep = (rid != rid[pivot]) & (comp != comp[pivot]) & (room >= need(n, n[pivot]))
     return _pairs(rid[keep], rid[pivot[keep]]) if keep.any() else none
 
 
+def _stars_of(turn: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return stars(pdf, turn)
+
+    return run
+
+
 def remaining(pdf: pd.DataFrame) -> pd.DataFrame:
     """(a, b, votes): all pairs of different components that no filter and no derived bound excludes."""
     (h, rid, n, place, first, comp, p, o), lists = _lists(pdf, ["place", "first", "comp", "pivot", "overlap"])
@@ -336,13 +396,14 @@ def near_sets(docs: DataFrame) -> DataFrame:
     known = None
     links = spark.createDataFrame([], "a long, b long")
     joined = spark.createDataFrame([], "node long, component long")
-    for _ in range(STAR_ROUNDS):
+    for turn in range(STAR_ROUNDS):
         placed = index.join(joined.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "h", "n", "first", F.coalesce("component", "rid").alias("comp"))
-        votes = _buckets(placed, n_buckets, ["rid", "h", "n", "first", "comp"]).applyInPandas(stars, "a long, b long, votes long")
+        votes = _buckets(placed, n_buckets, ["rid", "h", "n", "first", "comp"]).applyInPandas(_stars_of(turn), "a long, b long, votes long")
         votes = votes.groupBy("a", "b").agg(F.sum("votes").alias("votes"))
         if known is not None:
             votes = votes.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        best = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+        best = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("x"), F.min(F.struct("votes", "b")).alias("y"))
+        best = best.select("a", F.explode(F.array_distinct(F.array("x.b", "y.b"))).alias("b"))
         found = written(overlaps(best, sets), "overlaps")
         known = found if known is None else known.union(found)
         links = known.where("linked").select("a", "b")
@@ -353,8 +414,9 @@ def near_sets(docs: DataFrame) -> DataFrame:
     placed = index.join(joined.withColumnRenamed("node", "rid"), "rid", "left").join(pivot, "rid", "left")
     # a pivot knows its own overlap with itself, if it has no other
     placed = placed.select("rid", "h", "n", "first", F.coalesce("component", "rid").alias("comp"), F.coalesce("pivot", "rid").alias("pivot"), F.coalesce("overlap", "n").alias("overlap"))
-    rest = _buckets(placed, n_buckets, ["rid", "h", "n", "first", "comp", "pivot", "overlap"]).applyInPandas(remaining, "a long, b long, votes long")
-    found = written(overlaps(rest.select("a", "b").distinct(), sets), "overlaps")
+    rest = _buckets(placed, n_buckets, ["rid", "h", "n", "first", "comp", "pivot", "overlap"]).applyInPandas(_remaining_of(n_buckets), "part int, a binary, b binary")
+    rest = rest.groupBy("part").applyInPandas(_merged_pairs, "a long, b long")
+    found = written(overlaps(rest, sets), "overlaps")
     links = known.where("linked").select("a", "b").union(found.where("linked").select("a", "b"))
     joined = written(components(links).withColumnRenamed("node", "rep"), "joined")
     # from representatives to rows: the least doc_id of all rows of a component's sets; rows of one doc_id meet
