@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, running_total, scratch, tuned
-from .encode import encoder
+from .run_memo import run_memo
 
 LEAST, MASK, MOST, WINDOW = 64, 255, 1024, 16
 DIGEST = 32
@@ -39,45 +39,52 @@ FIRST_LEVEL, FAN = 18, 10
 LEVELS = 4
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the last ids lets a chunk end (the next id's number)."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h = np.zeros(n, np.uint64)
-    for i in range(WINDOW):
-        h[i:] += mixed[: n - i] * ROLL[i]
-    marks = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
-    out, at, k = [], 0, 0
-    while n - at > LEAST:
-        k = int(np.searchsorted(marks, at + LEAST))
-        end = min(int(marks[k]) if k < len(marks) else n, at + MOST, n)
+    h = np.zeros(len(ids), np.uint64)
+    for i in range(min(WINDOW, len(ids))):
+        h[i:] += mixed[: len(ids) - i] * ROLL[i]
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+
+
+def cuts(found: list[int], start: int, end: int) -> list[int]:
+    """Ends of the chunks of the document whose ids are ``start`` to ``end``.  Marks less than
+    LEAST from a chunk's start do not count, so none depends on the document before."""
+    out, at = [], start
+    k = bisect_left(found, at + LEAST)
+    while end - at > LEAST:
+        while k < len(found) and found[k] < at + LEAST:
+            k += 1
+        at = min(found[k] if k < len(found) else end, at + MOST, end)
+        out.append(at)
+    if at < end:
         out.append(end)
-        at = end
-    if at < n:
-        out.append(n)
     return out
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "plain", end_id: int = 2, vocabulary: int = 49408) -> None:
-    """Encode all documents into the store at ``path``."""
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, vocabulary: int = 49408) -> None:
+    """Encode all documents into the store at ``path``; ``tokenizer`` is a file of the tokenizers
+    library that lower-cases, drops white space and splits words as ``run_memo`` says."""
     spark = docs.sparkSession
     tuned(spark)
     with open(tokenizer, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    end, width = array("I", [end_id]).tobytes(), np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+    width = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
     n_parts = partitions(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sent = encoder(spec.value, kind), set()
+        memo, sent = run_memo(spec.value), set()
+        size = width.itemsize
         for b in batches:
             rows: list[tuple] = []
-            for doc, raw in zip(b.column(0).to_pylist(), memo.encode(b.column(1).to_pylist()), strict=True):
-                ids = np.frombuffer(raw + end, "<u4")
-                narrow, at, recipe = ids.astype(width), 0, []
-                for to in cuts(ids):
-                    data = narrow[at:to].tobytes()
+            ids, begin = memo.encode(b.column(1), end_id)
+            found, narrow = marks(ids).tolist(), ids.astype(width).tobytes()
+            begin = begin.tolist()
+            for doc, at, stop in zip(b.column(0).to_pylist(), begin[:-1], begin[1:], strict=True):
+                first, recipe = at, []
+                for to in cuts(found, at, stop):
+                    data = narrow[size * at : size * to]
                     digest = hashlib.sha256(data).digest()
                     recipe.append(digest)
                     if digest not in sent:  # once from each task; once in the store
@@ -87,7 +94,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "plain", end_i
                         rows.append(("chunk", digest, data, None, None))
                     at = to
                 chunks = b"".join(recipe)
-                rows.append(("recipe", hashlib.sha256(chunks).digest(), chunks, doc, len(ids)))
+                rows.append(("recipe", hashlib.sha256(chunks).digest(), chunks, doc, stop - first))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["kind", "digest", "ids", "doc_id", "n_tokens"])

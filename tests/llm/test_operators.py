@@ -129,18 +129,28 @@ def test_packing(docs, rows, none):
     assert bound <= sum(n for _, n in packed) <= sum(n for _, n in best_fit(h, 128)) * 1.01 + 1
 
 
-@pytest.mark.parametrize("kind,file", [("byte", "byte_bpe_50k.json"), ("plain", "word_bpe_49k.json")])
-def test_word_memo_is_the_library(kind, file):
-    from loomgraph.llm.encode import WordMemo
+TEXTS = ["", "  a  b ", "\n\n x\n", "日本語 テスト", "🎉x y", "a" * 500, "x\ty\r\n z", " \x01 a\x01 b", "É̀ İ ΑΣ \x1c x\x85y  z", "don't I'll 's 123 4th", "a\n\n b\n\n", "a \nb", "İstanbul ǅ ſ K", "a ", "x.,;y (z)12", "Ç×÷ ÿĀɏɐ"]
+
+
+def test_run_memo_is_the_library():
+    import pyarrow as pa
+
+    from loomgraph.llm.run_memo import RunMemo
+
+    path = P.path("word_bpe_49k.json")
+    want = [[*e.ids, 2] for e in tokenizers.Tokenizer.from_file(path).encode_batch(TEXTS, add_special_tokens=False)]
+    memo = RunMemo(open(path).read())
+    for _ in range(2):
+        ids, at = memo.encode(pa.array(TEXTS), 2)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_byte_level_is_the_library():
     from loomgraph.llm.packing import byte_level
 
-    library = tokenizers.Tokenizer.from_file(P.path(file))
-    spec = open(P.path(file)).read()
-    texts = ["", "  a  b ", "\n\n x\n", "日本語 テスト", "🎉x y", "a" * 500, "x\ty\r\n z", " \x01 a\x01 b", "É̀ İ ΑΣ \x1c x\x85y  z", "don't I'll 's 123 4th", "a\n\n b\n\n", "a \nb", "İstanbul ǅ ſ K", "a ", "x.,;y (z)"]
-    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in WordMemo(spec, kind).encode(texts)] == want
-    if kind == "byte":
-        assert [byte_level(spec).encode_ordinary(t) for t in texts] == want
+    path = P.path("byte_bpe_50k.json")
+    want = [e.ids for e in tokenizers.Tokenizer.from_file(path).encode_batch(TEXTS, add_special_tokens=False)]
+    assert [byte_level(open(path).read()).encode_ordinary(t) for t in TEXTS] == want
 
 
 def test_token_store(spark, docs, rows, none, tmp_path):
