@@ -1,15 +1,16 @@
-"""License scan: winnowed fingerprints pick candidates, banded alignment confirms them.
+"""License scan: winnowed fingerprints pick candidates, local alignment confirms them.
 
 Words are runs of letters and digits, ASCII lower-cased.  Templates and documents are
 fingerprinted alike: hashes of ``K`` words, of which each window of ``W`` keeps its
 least, so that any common run of ``W + K - 1`` words shares a fingerprint at the same
 place.  A template too short for a window keeps all its hashes, and such templates'
 hashes are probed in full, so that none is missed.  The templates' fingerprints form a
-small inverted index (its size depends on the templates alone); hits of a document on
-near diagonals make a candidate region, which a local alignment within ``BAND`` words of
-the diagonal scores.  A region is reported when its matched words cover ``coverage`` of
-the template; of overlapping reports for one document the one with more matched words
-stays.
+small inverted index (its size depends on the templates alone); the document's words
+around a hit, wide enough for any alignment through it, are aligned with the template.
+The alignment is local and has no band: words added, left out or changed anywhere cost a
+point each and matched words give two, so that parts before and after a change join.  A
+passage is reported when its matched words cover ``coverage`` of the template; of
+overlapping reports for one document the one with more matched words stays.
 
 Defined results: null or empty text has no rows; a template found twice in a document
 gives a row for each place; rows may repeat; other columns are ignored.
@@ -28,8 +29,10 @@ from .common import tuned
 from .hashing import BASE, buffers, mix, slices, sliding_min, words
 from .license_templates import TEMPLATES
 
-K, W, BAND = 3, 4, 4
+K, W = 3, 4
 MATCH, MISMATCH, SKIP = 2, -1, -1
+#: A point of score and a matched word in an alignment's cell; below them is the first word.
+POINT, WORD = 1 << 42, 1 << 21
 #: What separates words: every byte that is no ASCII letter or digit and no part of a longer character.
 GAPS = np.ones(256, bool)
 GAPS[48:58] = GAPS[65:91] = GAPS[97:123] = GAPS[128:] = False
@@ -72,56 +75,60 @@ class Templates:
         return np.repeat(at, n), self.owner[spot], self.place[spot]
 
 
-def align(a: np.ndarray, b: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """Local alignment of a document's words ``a`` with a template's ``b`` near ``a = b + diagonal``:
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Best local alignment of a document's words ``a`` with a template's ``b``, without a band:
     (matched words, first and last + 1 aligned word of ``a``)."""
-    width = 2 * band + 1
-    score = np.zeros(width, int)
-    start, matched = np.zeros(width, int), np.zeros(width, int)
-    best = (0, 0, 0, 0)
-    for j in range(len(b)):
-        new, new_start, new_matched = np.zeros(width, int), np.zeros(width, int), np.zeros(width, int)
-        for d in range(width):  # document word i = j + diagonal + d - band
-            i = j + diagonal + d - band
-            if not 0 <= i < len(a):
-                continue
-            same = a[i] == b[j]
-            options = [(score[d] + (MATCH if same else MISMATCH), start[d] if score[d] else i, matched[d] * (score[d] > 0) + same)]
-            if d + 1 < width and score[d + 1]:
-                options.append((score[d + 1] + SKIP, start[d + 1], matched[d + 1]))  # a template word is skipped
-            if d and new[d - 1]:
-                options.append((new[d - 1] + SKIP, new_start[d - 1], new_matched[d - 1]))  # a document word is skipped
-            top = max(options)
-            if top[0] > 0:
-                new[d], new_start[d], new_matched[d] = top
-                if top[0] > best[0]:
-                    best = (int(top[0]), int(top[2]), int(top[1]), i + 1)
-        score, start, matched = new, new_start, new_matched
-    return best[1], best[2], best[3]
+    at = np.arange(len(a))
+    # a cell holds score, matched words and first word in one number; 0: no alignment ends here
+    lift = at * POINT
+    cell, before = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    best, end = 0, 0
+    for w in b:
+        before[1:] = cell[:-1]
+        step = np.where(before, before, at) + np.where(a == w, MATCH * POINT + WORD, MISMATCH * POINT)
+        step = np.maximum(step, cell + SKIP * POINT)  # a template word is skipped
+        step[step < POINT] = 0
+        cell = np.maximum.accumulate(step - SKIP * lift) + SKIP * lift  # document words are skipped
+        cell[cell < POINT] = 0
+        i = int(cell.argmax())
+        if cell[i] // POINT > best // POINT:
+            best, end = int(cell[i]), i + 1
+    return best % POINT // WORD, best % WORD, end
+
+
+def passages(a: np.ndarray, b: np.ndarray, coverage: float) -> list[tuple[int, int, int]]:
+    """(matched words, first and last + 1 word of ``a``) of the alignments that cover the template
+    and do not overlap, best first."""
+    found, rest = [], [(0, len(a))]
+    while rest:
+        lo, hi = rest.pop()
+        # words of the template that are there at all bound the matched words from above
+        if np.isin(b, a[lo:hi]).sum() < coverage * len(b):
+            continue
+        matched, x, y = align(a[lo:hi], b)
+        if y and matched / len(b) >= coverage:
+            found.append((matched, lo + x, lo + y))
+        if y:
+            rest += [(lo, lo + x), (lo + y, hi)]
+    return found
 
 
 def scan_words(h: np.ndarray, hits: list[tuple[int, int, int]], templates: Templates, coverage: float) -> list[tuple[int, int, float, int, int]]:
     """(template, matched, coverage, first, last + 1 word) for one document's words and hits."""
-    by: dict[int, list[int]] = {}
-    for at, t, place in hits:
-        by.setdefault(t, []).append(at - place)
-    found = []
-    for t, diagonals in by.items():
-        diagonals.sort()
-        group = [diagonals[0]]
-        groups = [group]
-        for d in diagonals[1:]:
-            if d - group[-1] > BAND:
-                groups.append(group := [])
-            group.append(d)
-        for group in groups:
-            matched, lo, hi = align(h, templates.words[t], group[len(group) // 2])
-            share = matched / len(templates.words[t])
-            if share >= coverage:
-                found.append((t, matched, share, lo, hi))
-    found.sort(key=lambda x: (-x[1], -x[2], x[3], x[0]))
+    by: dict[int, set[int]] = {}
+    for at, t, _ in hits:
+        # a score above zero keeps an alignment below thrice the template's words, so that it
+        # lies whole in one of the windows of twice that, of which each starts in the last's middle
+        k = at // (3 * len(templates.words[t]))
+        by.setdefault(t, set()).update((k, max(0, k - 1)))
+    found = set()
+    for t, windows in by.items():
+        n = len(templates.words[t])
+        for k in windows:
+            for matched, lo, hi in passages(h[3 * n * k : 3 * n * (k + 2)], templates.words[t], coverage):
+                found.add((t, matched, matched / n, 3 * n * k + lo, 3 * n * k + hi))
     kept: list = []
-    for x in found:
+    for x in sorted(found, key=lambda x: (-x[1], -x[2], x[3], x[0])):
         if not any(x[3] < y[4] and y[3] < x[4] for y in kept):
             kept.append(x)
     return sorted(kept, key=lambda x: (x[3], x[0]))

@@ -4,6 +4,7 @@ repeated rows, extra columns and empty tables."""
 import hashlib
 import json
 import math
+import re
 import zlib
 
 import numpy as np
@@ -324,6 +325,38 @@ def test_license_scan(spark, docs, none):
     assert {(r.doc_id, r.license) for r in license_scan(whole).collect()} >= {(i, x) for i, (_, x, _) in enumerate(TEMPLATES)}
 
 
+def test_license_scan_edits_in_the_middle():
+    from loomgraph.llm.hashing import words
+    from loomgraph.llm.license_scan import GAPS, Templates, grams, scan_words
+    from loomgraph.llm.license_templates import TEMPLATES
+
+    def scan(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        h, start, end, _ = words(raw, np.array([0, len(raw)]), gaps=GAPS)
+        at, owner, place = t.hits(grams(h))
+        return [(t.names[k][0], matched, len(t.words[k]), text[start[x] : end[y - 1]]) for k, matched, _, x, y in scan_words(h, list(zip(at.tolist(), owner.tolist(), place.tolist(), strict=True)), t, 0.75)]
+
+    t = Templates()
+    rng = np.random.default_rng(4)
+    for name, _, text in TEMPLATES:
+        w = text.split()
+        if len(w) < 60:
+            continue
+        for at in (len(w) // 3, len(w) // 2, 2 * len(w) // 3):
+            added = [*w[:at], *rng.choice(WORDS, 10), *w[at:]]
+            (got,) = scan(prose(rng, 300) + "\n" + " ".join(added) + "\n" + prose(rng, 300))
+            assert got[0] == name and got[1] == got[2] and got[3].split()[0].strip('"') == w[0].strip('"'), (name, at, got)
+            less = w[:at] + w[at + 10 :]
+            (got,) = scan(prose(rng, 40) + "\n" + " ".join(less))
+            gone = len(re.findall("[A-Za-z0-9]+", " ".join(w[at : at + 10])))
+            assert got[0] == name and got[2] - gone <= got[1] < got[2], (name, at, got)
+        drift = [x for i, v in enumerate(w) for x in ([v, *rng.choice(WORDS, 3)] if i % 12 == 11 else [v])]
+        (got,) = scan(" ".join(drift) + "\n" + prose(rng, 40))
+        assert got[0] == name and got[1] == got[2]
+        twice = scan(" ".join([*added, *prose(rng, 7).split(), *added]))
+        assert [x[:3] for x in twice] == [(name, got[2], got[2])] * 2
+
+
 def test_components(spark):
     from loomgraph.llm import components as module
 
