@@ -5,15 +5,15 @@ coarse quantiser and, on the residuals, subspace codebooks are fitted on a bound
 sample (``MAX_TRAIN`` distinct vectors, by hash order).  Every distinct vector is stored
 in the inverted list of its nearest centroid with its code and the length of its
 quantisation error.  A query visits each list whose border it could have crossed: a
-partner lies at most ``r`` away (``r`` from the cosine threshold), and a displacement of
-length ``r`` moves by ``r / sqrt(dim)`` (one deviation) along the line between two
-centroids; lists within ``Z`` deviations are probed.  In a list, table lookups give the
-asymmetric distance to every stored code; with the stored error they bound the true
-distance from below, so that the lookup stage itself loses nothing.  What is left is
-compared exactly in double precision.
+partner lies at most ``r`` away (``r`` from the cosine threshold), so it can be in a list
+only if the border with that list is at most ``r`` away, in whatever direction.  No link
+is lost.  Of two lists, the vectors of one visit the other, and a link counts at both
+ends.  In a list, table lookups give the asymmetric distance to every stored code; with
+the stored error they bound the true distance from below, so that the lookup stage loses
+nothing either.  What is left is compared exactly in double precision.
 
 Long lists are cut into blocks, and queries of a list too; a task holds one block of
-each.  Links are counted in the task and leave it only as a count for each query and a
+each.  Links are counted in the task and leave it only as a count for each vector and a
 spanning forest, never as pairs.
 
 Defined results: null, empty or zero vectors, and those with null or non-finite
@@ -40,7 +40,6 @@ LIST = 1024
 MOST_LISTS = 1024
 BLOCK = 2048
 SUBSPACES, CODES = 8, 64
-Z = 3.5
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -83,10 +82,12 @@ class Index:
         return np.stack(codes, 1), np.sqrt(error)
 
     def probes(self, unit: np.ndarray, near: np.ndarray, r: float) -> np.ndarray:
-        """Lists to visit, as a mask: distance to the border with the own list within Z deviations."""
+        """Lists to visit, as a mask: the border with the own list within r, and of two lists one visits."""
         side = unit @ self.centre.T - self.half
         margin = side[np.arange(len(unit)), near][:, None] - side
-        return margin <= Z * r / np.sqrt(unit.shape[1]) * self.apart[near] + 1e-9
+        own, other = near[:, None], np.arange(len(self.centre))
+        turn = (own == other) | ((own < other) == ((own + other) % 2 == 0))
+        return turn & (margin <= r * self.apart[near] + 1e-9)
 
     def lookup(self, unit: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances: queries against the codes of one list, by table lookups."""
@@ -143,7 +144,7 @@ def _links(groups: DataFrame, dim: int, cosine: float, r: float) -> DataFrame:
             if query:
                 row, lists = np.nonzero(index.probes(unit, near, r))
                 code = [b""] * len(row)
-                error = np.zeros(len(row))
+                error = (near[row] != lists).astype(float)  # of a query: whether the list is not its own
             else:
                 row, lists = np.arange(len(v)), near
                 codes, error = index.encode(unit, near)
@@ -155,7 +156,7 @@ def _links(groups: DataFrame, dim: int, cosine: float, r: float) -> DataFrame:
     schema = "g long, label string, rep long, copies long, list int, v binary, code binary, error double"
     rows = groups.select("g", "label", "v", "rep", "copies")
     base = rows.mapInArrow(lambda x: place(x, False), schema)
-    query = rows.mapInArrow(lambda x: place(x, True), schema).select("g", "label", "rep", "list", "v")
+    query = rows.mapInArrow(lambda x: place(x, True), schema).select("g", "label", "rep", "copies", "list", "v", (F.col("error") > 0).alias("away"))
     sizes = base.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     asked = query.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq"))
     cells = written(sizes.join(asked, ["label", "list"]), "cells")
@@ -163,7 +164,7 @@ def _links(groups: DataFrame, dim: int, cosine: float, r: float) -> DataFrame:
     base = base.join(cells, ["label", "list"]).withColumn("bb", F.pmod(F.xxhash64("g", F.lit(1)), F.col("nb"))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     query = query.join(cells, ["label", "list"]).withColumn("qb", F.pmod(F.xxhash64("g", F.lit(2)), F.col("nq"))).withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     base = base.select(F.col("bb").cast("long").alias("bb"), F.col("qb").cast("long").alias("qb"), "label", "list", "g", "rep", "copies", "v", "code", "error")
-    query = query.select(F.col("bb").cast("long").alias("bb"), F.col("qb").cast("long").alias("qb"), "label", "list", "g", "rep", "v")
+    query = query.select(F.col("bb").cast("long").alias("bb"), F.col("qb").cast("long").alias("qb"), "label", "list", "g", "rep", "copies", "v", "away")
 
     def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"g": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "root": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
@@ -175,7 +176,7 @@ def _links(groups: DataFrame, dim: int, cosine: float, r: float) -> DataFrame:
         vb = np.frombuffer(b"".join(b["v"]), float).reshape(-1, dim)
         ub = vb / np.linalg.norm(vb, axis=1, keepdims=True)
         gb, rb, copies, error = (b[c].to_numpy() for c in ("g", "rep", "copies", "error"))
-        gq_all, rq_all = q["g"].to_numpy(), q["rep"].to_numpy()
+        gq_all, rq_all, copies_all, away_all = (q[c].to_numpy() for c in ("g", "rep", "copies", "away"))
         vq_all = np.frombuffer(b"".join(q["v"]), float).reshape(-1, dim)
         for i in range(0, len(q), BLOCK):
             vq, gq, rq = vq_all[i : i + BLOCK], gq_all[i : i + BLOCK], rq_all[i : i + BLOCK]
@@ -193,8 +194,13 @@ def _links(groups: DataFrame, dim: int, cosine: float, r: float) -> DataFrame:
                 continue
             n = np.bincount(x, weights=copies[y], minlength=len(uq)).astype(np.int64)
             linked = np.flatnonzero(n)
+            # the other end does not visit the query's list
+            away = away_all[i : i + BLOCK][x]
+            back = np.bincount(y[away], weights=copies_all[i : i + BLOCK][x[away]], minlength=len(ub)).astype(np.int64)
+            met = np.flatnonzero(back)
             nodes, roots = forest(rq[x], rb[y])
             out.append(pd.DataFrame({"g": gq[linked], "rep": rq[linked], "root": rq[linked], "n": n[linked]}))
+            out.append(pd.DataFrame({"g": gb[met], "rep": rb[met], "root": rb[met], "n": back[met]}))
             out.append(pd.DataFrame({"g": np.zeros(len(nodes), np.int64), "rep": nodes, "root": roots, "n": np.zeros(len(nodes), np.int64)}))
         return pd.concat(out) if out else none
 

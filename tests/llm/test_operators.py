@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -211,6 +212,23 @@ def test_embedding_dedup(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embedding_dedup_finds_all_links_across_lists(spark):
+    from loomgraph.llm.embedding_dedup import LIST, near_vectors
+
+    rng = np.random.default_rng(7)
+    n, dim, rank = 20_000, 64, 4
+    assert n > 19 * LIST
+    x = rng.normal(size=(n // 2, rank)) * np.geomspace(1, 0.5, rank)
+    pair = x + rng.normal(size=x.shape) * 0.3 * np.linalg.norm(x, axis=1, keepdims=True) / np.sqrt(rank)
+    v = np.concatenate((x, pair)) @ rng.normal(size=(rank, dim)) + 0.03 * rng.normal(size=(n, dim))
+    v[5] = v[4]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = np.concatenate([(u[i : i + 1000] @ u.T >= 0.93).sum(1) for i in range(0, n, 1000)]) - 1
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": v.tolist(), "label": np.ones(n, int)}))
+    got = near_vectors(rows, 0.93).select("vec_id", "n_links").toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    assert (got <= want + 1).all() and got.sum() >= want.sum() * (1 - 1e-6) and (got != want).sum() <= 2  # rounding at the threshold
+
+
 def test_binary_topk(spark):
     from loomgraph.llm.binary_topk import codes, top_k
 
