@@ -4,7 +4,9 @@ For tokenizers that lower-case, drop white space and split letters, digits and m
 the bytes of a batch, runs of one class are cut with numpy, hashed, and looked up in a
 memo of arrays (sorted hashes, with a direct-mapped table before them).  New runs are
 encoded by the tokenizers library, once for each worker; a word with any character whose
-class is not plain goes to the library whole.  The memo starts anew when it is full.
+class is not plain goes to the library whole, and so does a text that holds an added
+token's content, which the library maps to the token's id.  The memo starts anew when it
+is full.
 
 A run is known by a 64-bit hash and its length; two runs of one length would have to
 collide for a wrong id.
@@ -17,6 +19,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .hashing import _LOWER, SPACE, buffers, mix, powers, prefix_hash, slices
 from .packing import alphabet
@@ -39,7 +42,8 @@ class RunMemo:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
-        self.library.encode_special_tokens = True
+        # content of the added tokens, and whether it is looked for in the normalised text
+        self.added = [(t.content, t.normalized) for t in self.library.get_added_tokens_decoder().values()]
         self.model, self.normal = self.library.model, self.library.normalizer
         self.clear()
 
@@ -87,6 +91,17 @@ class RunMemo:
 
     def encode(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch with the end id after each text, and where each text's begin (length + 1)."""
+        whole = self.marked(text)
+        if len(whole):
+            texts = text.take(pa.array(whole)).to_pylist()
+            mask = np.zeros(len(text), bool)
+            mask[whole] = True
+            ids, at = self.encode(pc.if_else(pa.array(mask), "", text), end_id)
+            # the texts' own ids go before their end ids
+            own = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            size = np.zeros(len(text), np.int64)
+            size[whole] = [len(x) for x in own]
+            return np.insert(ids, np.repeat(at[:-1], size), np.concatenate(own)), at + np.concatenate(([0], np.cumsum(size)))
         buf, offsets = buffers(text)
         parts, counts = [], []
         for i, j in slices(offsets, 2 << 20):
@@ -96,6 +111,14 @@ class RunMemo:
         n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.concatenate(([0], np.cumsum(n)))
 
+    def marked(self, text: pa.Array) -> np.ndarray:
+        """Numbers of the texts that may hold an added token."""
+        found = np.zeros(len(text), bool)
+        for content, normalized in self.added:
+            hit = pc.match_substring(text, content, ignore_case=normalized)
+            found |= hit.fill_null(False).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(found)
+
     def piece(self, buf: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         n_docs = len(offsets) - 1
         if not len(buf):

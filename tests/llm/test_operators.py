@@ -147,6 +147,24 @@ def test_run_memo_is_the_library():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|startoftext|>Hello<|endoftext|><|endoftext|> ", "x<|endoftext|y <|ENDOFTEXT|>", "日本<|endoftext|>語\n\n<|startoftext|>", "  <|endoftext|>  9 ", "no token"]
+
+
+def test_run_memo_maps_added_tokens():
+    import pyarrow as pa
+
+    from loomgraph.llm.run_memo import RunMemo
+
+    path = P.path("word_bpe_49k.json")
+    texts = [*TEXTS, *ADDED, *TEXTS[::-1]]
+    want = [[*e.ids, 2] for e in tokenizers.Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert 49407 in want[len(TEXTS)]
+    memo = RunMemo(open(path).read())
+    for batch in (texts, ADDED, ["", ADDED[0]], [ADDED[1]]):
+        ids, at = memo.encode(pa.array(batch), 2)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [want[texts.index(t)] for t in batch]
+
+
 def test_byte_level_is_the_library():
     from loomgraph.llm.packing import byte_level
 
