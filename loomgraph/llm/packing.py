@@ -33,25 +33,40 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: The byte-level splitter's pattern, which the tokenizer's file does not spell out.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_open: dict[int, object] = {}
+_open: dict[int, "ByteLevel"] = {}
 
 
-def byte_level(spec: str):
+class ByteLevel:
+    """tiktoken for texts without added tokens; a text that holds an added token's content goes
+    to the tokenizers library, which maps it to the token's id."""
+
+    def __init__(self, spec: str, ranks: dict[bytes, int], added: list[str]):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.plain = tiktoken.Encoding("packing", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.library, self.added = Tokenizer.from_str(spec), added
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        if any(x in text for x in self.added):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.plain.encode_ordinary(text)
+
+
+def byte_level(spec: str) -> ByteLevel:
     """An encoder with the vocabulary and merge order of a byte-level BPE file of the
     tokenizers library; where merges are numbered in order, its ids are those of the
-    library (a test compares them), at a third of the time."""
+    library (tests compare them), at a third of the time."""
     if hash(spec) not in _open:
-        import tiktoken
-
         model = json.loads(spec)["model"]
         written = {chr(c): b for b, c in alphabet().items()}
         ranks = {bytes(written[c] for c in piece): i for piece, i in model["vocab"].items() if all(c in written for c in piece)}
         order = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
         if order != sorted(order):
             raise ValueError("the merges of this tokenizer are not numbered in order")
-        specials = {x["content"].encode() for x in json.loads(spec)["added_tokens"]}
-        ranks = {k: v for k, v in ranks.items() if k not in specials}
-        _open[hash(spec)] = tiktoken.Encoding("packing", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        added = [x["content"] for x in json.loads(spec)["added_tokens"]]
+        ranks = {k: v for k, v in ranks.items() if k not in {x.encode() for x in added}}
+        _open[hash(spec)] = ByteLevel(spec, ranks, added)
     return _open[hash(spec)]
 
 

@@ -173,6 +173,17 @@ def test_byte_level_is_the_library():
     assert [byte_level(open(path).read()).encode_ordinary(t) for t in TEXTS] == want
 
 
+def test_packing_maps_added_tokens(spark):
+    from loomgraph.llm.packing import byte_level, pack
+
+    path = P.path("byte_bpe_50k.json")
+    want = [e.ids for e in tokenizers.Tokenizer.from_file(path).encode_batch(ADDED, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [byte_level(open(path).read()).encode_ordinary(t) for t in ADDED] == want
+    got = pack(spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string"), path, 64).collect()
+    assert {(r.doc_id, r.length, r.ids_crc32) for r in got} == {(i, len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(want)}
+
+
 def test_token_store(spark, docs, rows, none, tmp_path):
     from loomgraph.llm.token_store import read_digests, read_ids, store_and_read, verify_manifest
 
