@@ -7,7 +7,7 @@ next stage's documents.  All stages but the last return the columns of documents
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import scratch
@@ -16,7 +16,7 @@ from loomgraph.llm.packing import pack
 from loomgraph.llm.queries import tokenizer
 from loomgraph.llm.set_join import near_sets
 from loomgraph.llm.suffix_dedup import suffix_dedup
-from loomgraph.llm.toxicity import toxicity
+from loomgraph.llm.toxicity import fit, score
 
 #: SQL can express neither the learned scores nor the packing.
 ORACLE_SQL = None
@@ -27,11 +27,17 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+def _row() -> Column:
+    """Key of a row: its doc_id, which may be null, and its text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go.  Rows without a doc_id are kept, as no score can be joined to them."""
+    """Rows whose text is predicted toxic go, with a doc_id or without."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity(docs, labels).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(scored, docs["doc_id"].cast("long") == scored["doc_id"], "left_anti")
+    model = fit(docs, labels)
+    scored = score(docs.select(_row().alias("doc_id"), "text"), model).where("predicted = 1").select(F.col("doc_id").alias("__loom_row")).distinct()
+    return docs.join(scored, _row() == scored["__loom_row"], "left_anti")
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +46,13 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; of rows repeated as they are, one."""
-    groups = near_sets(docs)
-    rest = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__loom_id")).distinct()
-    kept = docs.join(rest, docs["doc_id"].cast("long") == rest["__loom_id"], "left_anti")
+    """Of each group of near copies the row with the smallest doc_id stays (rows without one come
+    last); of rows repeated as they are, one."""
+    keys = docs.select(F.col("doc_id").cast("long").alias("__loom_id"), _row().alias("__loom_row")).distinct()
+    groups = near_sets(docs.select(_row().alias("doc_id"), "text")).select(F.col("doc_id").alias("__loom_row"), "component_id").distinct()
+    first = F.min(F.struct(F.col("__loom_id").isNull(), "__loom_id", "__loom_row")).alias("first")
+    stay = keys.join(groups, "__loom_row").groupBy("component_id").agg(first).select("first.__loom_row")
+    kept = docs.join(stay, _row() == stay["__loom_row"], "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
 
 

@@ -436,3 +436,29 @@ def test_pipeline_keeps_columns(spark, rows, tmp_path):
     left = {r.doc_id for r in docs.collect()}
     assert 1 not in left and 2 not in left and 50 not in left and {0, 3, 4, 5} <= left
     assert json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
+
+
+def test_pipeline_judges_each_row_on_its_text(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    data, labels = [], []
+    for i in range(600):
+        w = prose(rng, 80).split()
+        if i % 6 == 0:
+            for k in (3, 30, 60):
+                w[k] = str(rng.choice(["vile", "awful", "nasty"]))
+        data.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 6 == 0)))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    toxic, clean, alone = data[6][1], prose(rng, 80), prose(rng, 80)
+    docs = spark.createDataFrame([*data, (None, toxic + " x"), (None, clean), (900, toxic + " y"), (900, alone)], "doc_id long, text string")
+    left = {tuple(r) for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert (None, toxic + " x") not in left and (900, toxic + " y") not in left
+    assert {(None, clean), (900, alone)} <= left
+
+    a, b = prose(rng, 90), prose(rng, 90)
+    rows = [(5, a), (None, a + " end"), (None, b), (None, b + " end"), (7, a + " and"), (7, clean), (8, clean + " end"), (9, alone), (9, alone), (3, None), (None, ""), (4, "")]
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert len(kept) == len(set(kept)) and len([r for r in kept if r[1] in (b, b + " end")]) == 1
+    assert {r for r in kept if r[1] not in (b, b + " end")} == {(5, a), (7, clean), (9, alone), (3, None), (None, ""), (4, "")}
