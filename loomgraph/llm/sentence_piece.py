@@ -2,21 +2,29 @@
 
 A text's segments (white space and what follows it) are independent, as no piece reaches
 over their ends; the model file is checked for that.  Distinct segments are grouped by
-length, and the segments of one length advance together: prefix hashes over characters
-give the hash of any substring, which probes the sorted hashes of the pieces.
-
-* Unigram models: Viterbi; position after position, the vectorised maximum over piece
-  lengths is stored with its backpointer.
-* BPE models: scores are merge ranks, so a best path over score sums is not what the
-  model defines.  There the same probes give every adjacent pair's rank, and all segments
-  of a length merge their best pair (leftmost on ties) at once until none is left.
+length, and the segments of one length advance together in one Viterbi pass: prefix hashes
+over characters give the hash of any substring, which probes the sorted hashes of the
+pieces; at each position the vectorised maximum over the pieces that end there is stored
+with its backpointer.
+
+* Unigram models: a path's score is the sum of its pieces' scores.
+* BPE models: scores are merge ranks, and their sums do not define the encoding.  But the
+  encoding of a text is the one sequence of pieces of which each two neighbours are the
+  encoding of their own concatenation.  So a piece scores nothing if it can follow the best
+  path's last piece and minus infinity if not, and the maximum is the library's encoding.
+  Whether two pieces can stand side by side follows from how each came about: going back
+  through the merges at the border, no pair there may be a piece that would have merged
+  earlier than what did.  Answers are kept for each pair of pieces.
 
 Characters without a piece become byte pieces where the model has them, else the unknown
-id.  A bounded memo holds segments already encoded.
+id.  A bounded memo holds segments already encoded; segments of more than LONG characters
+(nothing but letters, or but marks) are encoded one by one.
 
 Defined results: null text is empty; empty text has no ids; white space other than the
 space is an ordinary character; a text that holds U+2581 does not come back from
-decoding, as the model writes spaces with it.
+decoding, as the model writes spaces with it; very long texts are encoded whole; rows may
+repeat and each is returned; null doc_ids are returned; an empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,13 +46,15 @@ from .common import tuned
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 SPACE = "▁"
-MEMO = 1_000_000
+#: Segments and pairs of pieces whose answers a worker keeps.
+MEMO, PAIRS = 1_000_000, 1 << 20
 MARKS = r"!-/:-@\[-`{-~"
 MARK, LETTER = re.compile(f"[{MARKS}]"), re.compile(f"[^{MARKS}{SPACE}]")
 LONG = 48
+#: Texts whose new segments advance together.
+TOGETHER = 1024
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_open: dict[int, "Model"] = {}
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | float | bytes]]:
@@ -130,6 +140,9 @@ class Model:
         inside = f"{SPACE}*[{marks}]+|{SPACE}*[^{SPACE}\n{marks}]+" if apart else f"{SPACE}*[^{SPACE}\n]+"
         self.find = re.compile(f"\n|{inside}|{SPACE}+").findall
         self.memo: dict[str, bytes] = {}
+        self.known, self.answers = np.full(PAIRS, -1), np.zeros(PAIRS, bool)
+        if kind == BPE:
+            self._history()
         self.text = [bytes([int(p[0][3:5], 16)]) if p[2] == BYTE else b"" if p[2] == CONTROL else " ⁇ ".encode() if p[2] == UNKNOWN else p[0].replace(SPACE, " ").encode() for p in pieces]
 
     def _key(self, piece: str) -> int:
@@ -152,8 +165,9 @@ class Model:
         np.cumsum((chars + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * self.up[:n], 1, out=h[:, 1:])
         return h
 
-    def merge(self, words: list[str]) -> list[bytes]:
-        """BPE ids for words of one length."""
+    def merge(self, words: list[str], cut: dict[int, int]) -> list[bytes]:
+        """Ids of words of one length by merging, which tells how pieces come about; ``cut`` gets where the
+        last two symbols of a word meet, if it came down to two."""
         n = len(words[0])
         h = self._prefixes(words)
         done: list = [None] * len(words)
@@ -183,6 +197,8 @@ class Model:
             if not len(row):
                 break
             k = bounds.shape[1]
+            if k == 3:
+                cut.update(zip(row.tolist(), bounds[:, 1].tolist(), strict=True))
             keep = np.arange(k)[None, :] != best[:, None] + 1
             bounds = bounds[keep].reshape(len(row), k - 1)
             keep = np.arange(k - 2)[None, :] != best[:, None]
@@ -195,6 +211,112 @@ class Model:
                     pair[i, a] = rank(row[i], bounds[i, a], bounds[i, a + 2])
         return done
 
+    def _history(self) -> None:
+        """Of each piece: its hash and length, its place in the order of merges (-1: one character), the two
+        pieces it is merged from last, and whether it is the encoding of its own text."""
+        n = len(self.pieces)
+        self.rank, self.left, self.right = np.full(n, -1), np.full(n, -1), np.full(n, -1)
+        self.whole, self.size, self.hash = np.zeros(n, bool), np.ones(n, np.int64), np.zeros(n, np.uint64)
+        by: dict[int, list[str]] = {}
+        for piece in self.ids:
+            by.setdefault(len(piece), []).append(piece)
+        merged = [i for p, i in self.ids.items() if len(p) > 1]
+        self.rank[sorted(merged, key=lambda i: -self.score[i])] = np.arange(len(merged))
+        for size, pieces in by.items():
+            at = np.array([self.ids[p] for p in pieces])
+            h = self._prefixes(pieces)
+            self.size[at], self.hash[at] = size, h[:, -1]
+            if size == 1:
+                self.whole[at] = True
+                continue
+            cut: dict[int, int] = {}
+            alone = self.merge(pieces, cut) if size <= LONG else [b""] * len(pieces)
+            self.whole[at] = [x == array("I", [i]).tobytes() for x, i in zip(alone, at.tolist(), strict=True)]
+            rows = np.array([i for i in cut if self.whole[at[i]]], np.int64)
+            if len(rows):
+                mid = np.array([cut[i] for i in rows.tolist()])
+                self.left[at[rows]] = self.probe(h[rows, mid])
+                self.right[at[rows]] = self.probe((h[rows, -1] - h[rows, mid]) * self.down[mid])
+
+    def can_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether piece b can stand after piece a; a character without a piece (-1) can stand anywhere."""
+        out = np.ones(len(a), bool)
+        ask = np.flatnonzero((a >= 0) & (b >= 0))
+        if not len(ask):
+            return out
+        a, b = a[ask], b[ask]
+        key = a * len(self.pieces) + b
+        slot = (key * 0x9E3779B1) & (PAIRS - 1)
+        answers = self.answers[slot]
+        new = np.flatnonzero(self.known[slot] != key)
+        if len(new):
+            keys, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            asked = new[first]
+            found = self._apart(a[asked], b[asked])
+            answers[new] = found[back]
+            # of new pairs that share a slot one stays
+            at, one = np.unique(slot[asked], return_index=True)
+            self.known[at], self.answers[at] = keys[one], found[one]
+        out[ask] = answers
+        return out
+
+    def _apart(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Whether pieces u and v, side by side, are never merged over their border."""
+        never = len(self.pieces)
+        out = np.ones(len(u), bool)
+        row, u, v = np.arange(len(u)), u.copy(), v.copy()
+        u_goes, v_goes = np.full(len(u), never), np.full(len(u), never)  # when each is merged into the next
+        while len(row):
+            both = self.size[u] + self.size[v] <= self.longest
+            found = np.full(len(u), -1)
+            found[both] = self.probe(self.hash[u[both]] + self.hash[v[both]] * self.up[self.size[u[both]]])
+            when = np.where(found >= 0, self.rank[found], never)
+            # of equal merges the left one comes first
+            clash = (when < u_goes) & (when <= v_goes) & (found >= 0)
+            out[row[clash]] = False
+            later = self.rank[v] >= self.rank[u]  # the one merged last is taken apart
+            more = ~clash & (np.where(later, self.rank[v], self.rank[u]) >= 0)
+            row, u, v, u_goes, v_goes, later = (x[more] for x in (row, u, v, u_goes, v_goes, later))
+            u_goes, v_goes = np.where(later, u_goes, self.rank[u]), np.where(later, self.rank[v], v_goes)
+            u, v = np.where(later, u, self.right[u]), np.where(later, self.left[v], v)
+        return out
+
+    def neighbours(self, words: list[str]) -> list[bytes]:
+        """BPE ids for words of one length: the path of pieces of which each can follow the one before."""
+        n, rows = len(words[0]), len(words)
+        h = self._prefixes(words)
+        row = np.arange(rows)
+        best = np.full((rows, n + 1), -np.inf)
+        best[:, 0] = 0
+        back, piece = np.zeros((rows, n + 1), np.int64), np.full((rows, n + 1), -1)
+        for end in range(1, n + 1):
+            lo = np.arange(max(0, end - self.longest), end)
+            found = self.probe((h[:, end : end + 1] - h[:, lo]) * self.down[lo])
+            fits = (found >= 0) & self.whole[found]
+            fits[:, -1] |= found[:, -1] < 0  # a character without a piece stands alone
+            x, y = np.nonzero(fits)
+            fits[x, y] = (lo[y] == 0) | self.can_follow(piece[x, lo[y]], found[x, y])
+            score = np.where(fits, best[:, lo], -np.inf)
+            at = score.argmax(1)
+            best[:, end] = score[row, at]
+            back[:, end], piece[:, end] = lo[at], found[row, at]
+        out: list = [None] * rows
+        # the paths, from their ends, all at once: rows that are done drop out
+        steps: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        end = np.full(rows, n)
+        while len(row):
+            steps.append((row, back[row, end], end, piece[row, end]))
+            end = back[row, end]
+            row, end = row[end > 0], end[end > 0]
+        where, lo, hi, ids = (np.concatenate(x[::-1]) for x in zip(*steps, strict=True))
+        order = np.lexsort((lo, where))
+        where, lo, hi, ids = where[order], lo[order], hi[order], ids[order]
+        cut = np.searchsorted(where, np.arange(rows + 1))
+        raw, sound = ids.astype("<u4").tobytes(), np.logical_and.reduceat(ids >= 0, cut[:-1])
+        for i, (a, b, ok) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), sound.tolist(), strict=True)):
+            out[i] = raw[4 * a : 4 * b] if ok else self.ids_of(words[i], list(zip(lo[a:b].tolist(), hi[a:b].tolist(), ids[a:b].tolist(), strict=True)))
+        return out
+
     def ids_of(self, word: str, path: list[tuple[int, int, int]]) -> bytes:
         """Ids of a word from the (start, end, piece id or -1) of its symbols."""
         ids: list[int] = []
@@ -286,7 +408,7 @@ class Model:
         by: dict[int, list[str]] = {}
         for s in segments:
             by.setdefault(len(s), []).append(s)
-        together, alone = (self.merge, self.long_merge) if self.kind == BPE else (self.viterbi, self.long_viterbi)
+        together, alone = (self.neighbours, self.long_merge) if self.kind == BPE else (self.viterbi, self.long_viterbi)
         for n, group in by.items():
             self.memo.update(zip(group, together(group) if n <= LONG else map(alone, group), strict=True))
 
@@ -298,8 +420,8 @@ class Model:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for i in range(0, len(texts), 256):
-            split = [self.find(t) if self.independent else [t] * bool(t) for t in map(self.normalize, texts[i : i + 256])]
+        for i in range(0, len(texts), TOGETHER):
+            split = [self.find(t) if self.independent else [t] * bool(t) for t in map(self.normalize, texts[i : i + TOGETHER])]
             every = set().union(*split)
             new = every.difference(self.memo)
             if len(self.memo) + len(new) > MEMO:
@@ -313,7 +435,11 @@ class Model:
         return raw[1:] if self.prefix and raw.startswith(" ") else raw
 
 
+_open: dict[int, Model] = {}
+
+
 def load(data: bytes) -> Model:
+    """The model of a file's bytes; a worker reads it once."""
     key = hash(data)
     if key not in _open:
         _open[key] = Model(data)
