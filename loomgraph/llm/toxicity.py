@@ -9,12 +9,15 @@ score into the log of an expected count; what exceeds chance is summed over a do
 significant segments, and a logistic curve fitted on the training documents gives the
 score.
 
-Bounds: ``max_train`` labelled documents (chosen by a hash of doc_id) fit the lexicon,
-``max_words`` words at most are candidates.  Everything else covers all rows.
+Bound: ``max_train`` labelled documents (chosen by a hash of doc_id) fit the lexicon and the
+curve.  Every word whose counts in them are significant is a candidate, and everything else
+covers all rows.
 
 Defined results: null or empty text has no segment and gets the score of a document
-without one; without labels every score is 0.5; rows may repeat, each is scored; other
-columns are ignored.
+without one; without labels every score is 0.5; a doc_id that is labelled twice is toxic if
+one label says so; rows may repeat, each is scored on its own text, and equal texts get
+equal scores; a very long text is scanned whole, with one slice's memory; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned
+from .common import tuned, written
 from .hashing import NOT_LETTER, buffers, slices, words
 
 MAX_TRAIN = 20_000
-MAX_WORDS = 65_536
 PRIOR = 50.0
 #: Least signed root of the likelihood ratio, and least log-odds, of a word in the lexicon.
 LEAST_ROOT = 5.0
@@ -98,7 +100,7 @@ def _long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     spark = docs.sparkSession
     tuned(spark)
     labels = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
@@ -106,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_word
     # a table of max_train rows at most; copies of one text count once
     train = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     train = train.groupBy(F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text"), F.max("_toxic").alias("_toxic")).select("text", "_toxic")
-    train = train.repartition(max(1, max_train // 500), F.xxhash64("text")).persist()
+    train = written(train.repartition(max(1, max_train // 500), F.xxhash64("text")), "training")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_word
 
     n_bad, n_all = train.agg(F.coalesce(F.sum("_toxic"), F.lit(0)), F.count("*")).first()
     rows = train.mapInArrow(count, "h long, bad long, n long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    rows = rows.where(f"bad >= 3 and bad * {max(1, n_all)} > n * {n_bad}").orderBy(F.desc("bad"), "n", "h").limit(max_words).toPandas()
+    # the words whose counts alone can make the lexicon: their number is bounded by the training sample
+    rows = rows.where(f"bad >= 3 and bad * {max(1, n_all)} > n * {n_bad}").where(_least_root(n_bad, n_all)).toPandas()
     rows["h"] = rows["h"].to_numpy(np.int64).view(np.uint64)
     rows = rows.sort_values("h")
     keys = rows["h"].to_numpy(np.uint64)
@@ -174,11 +177,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_word
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column(1)], ["x", "y"])
 
     xy = train.mapInArrow(features, "x double, y int").toPandas()
-    train.unpersist()
     model.weights = _logistic(np.log1p(xy["x"].to_numpy(float)), xy["y"].to_numpy(float))
     return model
 
 
+def _least_root(n_bad: int, n_all: int) -> F.Column:
+    """The test of ``_root_ratio`` as a filter of (bad, n), with a little room for rounding."""
+    p = F.col("n") / F.lit(float(max(1, n_all)))
+
+    def part(y: F.Column, expected: F.Column) -> F.Column:
+        return F.when(y > 0, y * F.log(F.greatest(y, F.lit(1e-12)) / F.greatest(expected, F.lit(1e-12)))).otherwise(0.0)
+
+    bad, good = F.col("bad").cast("double"), (F.col("n") - F.col("bad")).cast("double")
+    b, g = F.lit(float(n_bad)), F.lit(float(n_all - n_bad))
+    return 2 * (part(bad, b * p) + part(b - bad, b * (1 - p)) + part(good, g * p) + part(g - good, g * (1 - p))) >= LEAST_ROOT**2 - 1e-6
+
+
 def _root_ratio(y1, n1, y0, n0) -> np.ndarray:
     """Square root of the likelihood-ratio statistic of the two-by-two table."""
     p = (y1 + y0) / max(1, n1 + n0)
