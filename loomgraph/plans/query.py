@@ -320,6 +320,12 @@ class Compiler:
                     rows, col = self.attach(rows, e)
                     found[e] = col
                 return
+            if e.kind == "prop" and e.base.kind == "fn" and e.base.name in ("startnode", "endnode") and e.base.args[0].kind == "var":
+                el = rows.scope.get(e.base.args[0].name)
+                if isinstance(el, Element) and el.kind == "rel":
+                    if e not in found:
+                        rows, found[e] = self.end_property(rows, F.col(el.meta["src" if e.base.name == "startnode" else "dst"]), e.key)
+                    return
             for ch in e.children():
                 visit(ch)
 
@@ -330,6 +336,15 @@ class Compiler:
             return rows, exprs
         return rows, [replace(e, found) if e is not None else None for e in exprs]
 
+    def end_property(self, rows: Rows, end: F.Column, key: str) -> tuple[Rows, T]:
+        """A property of the node at an end of a relationship, joined in by the node's id."""
+        nodes = self.graph.scan_nodes(None, {key})
+        if key not in nodes.columns:
+            return rows, T("lit", value=None)
+        node, out = fresh("end"), fresh("p")
+        nodes = nodes.select(F.col("_id").alias(node), F.col(f"`{key}`").alias(out))
+        return rows.with_(df=rows.df.join(nodes, end == F.col(node), "left").drop(node), unit=False), T("col", name=out, type=nodes.schema[out].dataType)
+
     def attach(self, rows: Rows, e: T) -> tuple[Rows, T]:
         domain, keys, _ = self.domain(rows, [e])
         inner = self.sub_rows(e, domain)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import function_queries
 from .session import cypher
 from .sources.tables import warehouse_graph
 
@@ -153,6 +154,7 @@ CYPHER: dict[str, tuple[str, str]] = {
     "interpolation": ("MATCH (n:Nation) RETURN s\"{n.n_name}/{n.n_regionkey}\" AS x", "SELECT n_name || '/' || n_regionkey AS x FROM nation"),
     "label_expression": ("MATCH (n:Region|Nation) WHERE NOT n:Nation RETURN n.r_name AS n", "SELECT r_name AS n FROM region"),
     "procedure_yield": ("CALL db.labels() YIELD label WHERE label STARTS WITH 'N' RETURN label", "SELECT 'Nation' AS label"),
+    **function_queries.CYPHER,
 }
 
 

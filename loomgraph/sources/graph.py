@@ -8,6 +8,7 @@ Reserved columns: ``_id`` and ``_labels`` of nodes; ``_id``, ``_type``, ``_src``
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,19 +23,34 @@ NODE = ("_id", "_labels")
 REL = ("_id", "_type", "_src", "_dst")
 
 
+#: A table, or how to open it; what no pattern reads is never opened.
+Frame = DataFrame | Callable[[], DataFrame]
+
+
+def opened(frame: Frame) -> DataFrame:
+    return frame() if callable(frame) else frame
+
+
+class _Table:
+    @property
+    def df(self) -> DataFrame:
+        self.frame = opened(self.frame)
+        return self.frame
+
+
 @dataclass
-class NodeTable:
+class NodeTable(_Table):
     labels: tuple[str, ...] | None  # None: labels differ from row to row
-    df: DataFrame
+    frame: Frame
 
     def properties(self) -> dict[str, S.DataType]:
         return {f.name: f.dataType for f in self.df.schema if f.name not in NODE}
 
 
 @dataclass
-class RelTable:
+class RelTable(_Table):
     type: str
-    df: DataFrame
+    frame: Frame
     source: tuple[str, ...] | None = None  # labels that every source node has
     target: tuple[str, ...] | None = None
     sound: bool = True  # every end exists
@@ -118,7 +134,7 @@ class Graph:
             for end, labels in (("_src", r.source), ("_dst", r.target)):
                 if not (labels and set(labels) <= all_labels and all(set(t.labels or ()) != set(labels) or t in kept for t in self.nodes)):
                     df = df.join(ids.withColumnRenamed("_id", end), end, "left_semi")
-            rels.append(replace(r, df=df))
+            rels.append(replace(r, frame=df))
         return replace(self, nodes=nodes, rels=rels)
 
     def hide(self, names: set[str] = frozenset(), prefixes: tuple[str, ...] = (), pattern: str | None = None) -> "Graph":
@@ -128,7 +144,10 @@ class Graph:
         def shown(df: DataFrame) -> DataFrame:
             return df.drop(*[c for c in df.columns if c not in (*NODE, *REL) and (c in names or c.startswith(prefixes or ("\0",)) or pattern and re.search(pattern, c))])
 
-        return replace(self, nodes=[replace(t, df=shown(t.df)) for t in self.nodes], rels=[replace(t, df=shown(t.df)) for t in self.rels])
+        def later(t: NodeTable | RelTable) -> Frame:
+            return lambda: shown(t.df)
+
+        return replace(self, nodes=[replace(t, frame=later(t)) for t in self.nodes], rels=[replace(t, frame=later(t)) for t in self.rels])
 
 
 def wider(a: S.DataType | None, b: S.DataType) -> S.DataType:
@@ -175,7 +194,7 @@ def normal(df: DataFrame) -> DataFrame:
 class GraphBuilder:
     """Nodes and relationships from any tables.
 
-    ``node(label, df, key)`` gives each label set an ordinal; ids are ``ordinal * STRIDE +
+    ``df`` may be a function that opens the table.  ``node(label, df, key)`` gives each label set an ordinal; ids are ``ordinal * STRIDE +
     key`` and so unique.  ``rel(type, df, (label, column), (label, column))`` names the
     ends by label and key column; relationship ids come from ``key`` where there is one,
     else from a hash of all columns (parallel equal rows need a key).
@@ -185,25 +204,32 @@ class GraphBuilder:
         self.graph = Graph(spark)
         self.ordinals: dict[str, int] = {}
 
-    def node(self, label: str | tuple[str, ...], df: DataFrame, key: str, props: list[str] | None = None) -> "GraphBuilder":
+    def node(self, label: str | tuple[str, ...], df: Frame, key: str, props: list[str] | None = None) -> "GraphBuilder":
         labels = (label,) if isinstance(label, str) else tuple(label)
         self.ordinals[labels[0]] = n = len(self.ordinals) + 1
-        df = normal(df)
-        cols = [F.col(f"`{c}`") for c in (props if props is not None else df.columns)]
-        self.graph.nodes.append(NodeTable(labels, df.select((F.lit(n * STRIDE) + F.col(f"`{key}`").cast("long")).alias("_id"), *cols)))
+
+        def frame() -> DataFrame:
+            rows = normal(opened(df))
+            cols = [F.col(f"`{c}`") for c in (props if props is not None else rows.columns)]
+            return rows.select((F.lit(n * STRIDE) + F.col(f"`{key}`").cast("long")).alias("_id"), *cols)
+
+        self.graph.nodes.append(NodeTable(labels, frame))
         return self
 
     def end(self, label: str, column: str | Column) -> Column:
         return F.lit(self.ordinals[label] * STRIDE) + (F.col(column) if isinstance(column, str) else column).cast("long")
 
-    def rel(self, type_: str, df: DataFrame, source: tuple[str, str | Column], target: tuple[str, str | Column], key: str | Column | None = None, props: list[str] | None = None, sound: bool = True) -> "GraphBuilder":
+    def rel(self, type_: str, df: Frame, source: tuple[str, str | Column], target: tuple[str, str | Column], key: str | Column | None = None, props: list[str] | None = None, sound: bool = True) -> "GraphBuilder":
         ordinal = len(self.graph.rels) + 1
         src, dst = self.end(*source), self.end(*target)
-        key_col = F.lit(ordinal * STRIDE) + (F.col(key) if isinstance(key, str) else key).cast("long") if key is not None else F.xxhash64(F.lit(ordinal), *[F.col(f"`{c}`") for c in df.columns])
-        names = props or []
-        df = df.withColumn("__id", key_col).withColumn("__src", src).withColumn("__dst", dst)
-        df = normal(df).where("__src is not null and __dst is not null")
-        self.graph.rels.append(RelTable(type_, df.select(F.col("__id").alias("_id"), F.col("__src").alias("_src"), F.col("__dst").alias("_dst"), *[F.col(f"`{c}`") for c in names]), (source[0],), (target[0],), sound))
+
+        def frame() -> DataFrame:
+            rows = opened(df)
+            key_col = F.lit(ordinal * STRIDE) + (F.col(key) if isinstance(key, str) else key).cast("long") if key is not None else F.xxhash64(F.lit(ordinal), *[F.col(f"`{c}`") for c in rows.columns])
+            rows = normal(rows.withColumn("__id", key_col).withColumn("__src", src).withColumn("__dst", dst)).where("__src is not null and __dst is not null")
+            return rows.select(F.col("__id").alias("_id"), F.col("__src").alias("_src"), F.col("__dst").alias("_dst"), *[F.col(f"`{c}`") for c in props or []])
+
+        self.graph.rels.append(RelTable(type_, frame, (source[0],), (target[0],), sound))
         return self
 
     def build(self) -> Graph:
