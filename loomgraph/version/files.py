@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -24,18 +25,25 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a file: a new one is written beside it and renamed."""
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file that does not exist yet; False if another writer was first."""
     fs, p = _at(spark, path)
-    _, new = _at(spark, f"{path}.new")
-    stream = fs.create(new, True)
+    try:
+        stream = fs.create(p, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
     try:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(new, p)
+    return True
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _at(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def delete(spark: SparkSession, path: str) -> None:

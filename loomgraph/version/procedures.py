@@ -15,7 +15,7 @@ from ..sources.graph import Graph
 
 
 def version_procedures(store, graph: Graph, options: dict) -> dict[str, Callable]:
-    spark, c = store.spark, store.catalog
+    spark, c = store.spark, store.catalog  # of this call: a store that loses a race loads another
 
     def rows(data: list, schema: str) -> DataFrame:
         return spark.createDataFrame(data, schema)
@@ -44,7 +44,7 @@ def version_procedures(store, graph: Graph, options: dict) -> dict[str, Callable
 
     def commit_create(data=None):
         head = store.resolve(None)
-        k = store._finish([head], None, store.schema_of(head), options.get("author", ""), options.get("message", ""))
+        k = store._finish([head], None, store.schema_of(head), store.kinds_of(head), options.get("author", ""), options.get("message", ""))
         c["branches"][c["active"]] = k
         if data is not None:
             c["data"][k] = json.dumps(_plain(data) if hasattr(data, "asDict") else data)
@@ -164,7 +164,7 @@ def version_procedures(store, graph: Graph, options: dict) -> dict[str, Callable
             head = store.resolve(None)
             schema = store.schema_of(head)
             schema.setdefault("indexes", {})[name] = {"name": name, "type": "SEMANTIC", "entity": entity, "labels": list(labels), "properties": [prop], "options": _plain(opts)}
-            k = store._finish([head], None, schema, "", f"semantic index {name}")
+            k = store._finish([head], None, schema, store.kinds_of(head), "", f"semantic index {name}")
             c["branches"][c["active"]] = k
             store._save()
             return rows([(name,)], "name string")

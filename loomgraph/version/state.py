@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import GraphError
 from ..plans.scratch import written
 from ..sources.graph import Graph, NodeTable, RelTable
 from .codec import decode, widest
@@ -21,14 +22,45 @@ NODES = "id long, labels array<string>, props map<string,string>"
 RELS = "id long, type string, src long, dst long, props map<string,string>"
 
 
+class Kinds:
+    """Which keys have values of which tags: of all nodes, and of each relationship type.
+
+    A commit carries it, so that opening a version reads no data.  It only grows along a
+    branch; keys and tags that no record holds any more do no harm, and where they clash
+    the records are asked.
+    """
+
+    def __init__(self, data: dict | None = None):
+        data = data or {}
+        self.node: dict[str, set[str]] = {k: set(t) for k, t in data.get("node", {}).items()}
+        self.rel: dict[str, dict[str, set[str]]] = {r: {k: set(t) for k, t in keys.items()} for r, keys in data.get("rel", {}).items()}
+
+    def plain(self) -> dict:
+        return {"node": {k: sorted(t) for k, t in sorted(self.node.items())}, "rel": {r: {k: sorted(t) for k, t in sorted(keys.items())} for r, keys in sorted(self.rel.items())}}
+
+    def copy(self) -> "Kinds":
+        return Kinds(self.plain())
+
+    def add(self, type_: str | None, tags: dict[str, str]) -> None:
+        """Tags of the keys of nodes (type None) or of relationships of a type."""
+        keys = self.node if type_ is None else self.rel.setdefault(type_, {})
+        for k, tag in tags.items():
+            keys.setdefault(k, set()).add(tag)
+
+    def add_to_all_types(self, tags: dict[str, str]) -> None:
+        for r in list(self.rel):
+            self.add(r, tags)
+
+
 @dataclass
 class State:
     nodes: DataFrame
     rels: DataFrame
+    kinds: Kinds | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession) -> "State":
-        return cls(spark.createDataFrame([], NODES), spark.createDataFrame([], RELS))
+        return cls(spark.createDataFrame([], NODES), spark.createDataFrame([], RELS), Kinds())
 
     def apply(self, nodes: DataFrame | None, rels: DataFrame | None) -> "State":
         """With changed records (and ``deleted`` ones) in place of those of the same ids."""
@@ -38,28 +70,53 @@ class State:
                 return base
             return base.join(delta.select("id"), "id", "left_anti").unionByName(delta.where("not deleted").select(*base.columns))
 
-        return State(one(self.nodes, nodes), one(self.rels, rels))
+        return State(one(self.nodes, nodes), one(self.rels, rels), self.kinds)
 
     def kept(self, name: str) -> "State":
-        return State(written(self.nodes, f"{name}-nodes"), written(self.rels, f"{name}-rels"))
+        return State(written(self.nodes, f"{name}-nodes"), written(self.rels, f"{name}-rels"), self.kinds)
+
+    def scan_kinds(self) -> Kinds:
+        """The kinds as the records have them: a row for each key and tag, and for each type."""
+        tag = F.regexp_extract("v", "^([^:]*):", 1)
+        out = Kinds()
+        for k, t in self.nodes.select(F.explode("props").alias("k", "v")).select("k", tag).distinct().collect():
+            out.add(None, {k: t})
+        for r, k, t in self.rels.select("type", F.explode_outer("props").alias("k", "v")).select("type", "k", tag).distinct().collect():
+            out.add(r, {k: t} if k is not None else {})
+        return out
 
     def graph(self, spark: SparkSession, schema: dict, version: str | None = None) -> Graph:
         """The state as typed tables: one node table, one table for each relationship type."""
 
-        def columns(df: DataFrame, keep: dict[str, str]) -> DataFrame:
-            found = df.select(F.explode("props").alias("k", "v")).groupBy("k", F.regexp_extract("v", "^([^:]*):", 1).alias("tag")).count().collect()  # a row for each key and kind
-            tags: dict[str, set[str]] = {}
-            for k, tag, _ in found:
-                tags.setdefault(k, set()).add(tag)
-            cols = [decode(F.try_element_at("props", F.lit(k)), widest(t))[0].alias(k) for k, t in sorted(tags.items())]
+        def columns(df: DataFrame, keep: dict[str, str], tags: dict[str, set[str]]) -> DataFrame:
+            cols = [typed(F.try_element_at("props", F.lit(k)), k, t).alias(k) for k, t in sorted(tags.items())]
             return df.select(*[F.col(c).alias(n) for c, n in keep.items()], *cols)
 
-        nodes = columns(self.nodes, {"id": "_id", "labels": "_labels"})
-        g = Graph(spark, [NodeTable(None, nodes)], [], dict(schema.get("indexes", {})), dict(schema.get("constraints", {})), dict(schema.get("graph_type", {})), version)
-        for (t,) in self.rels.select("type").distinct().collect():  # the types are a catalog
-            df = columns(self.rels.where(F.col("type") == t), {"id": "_id", "src": "_src", "dst": "_dst"})
-            g.rels.append(RelTable(t, df))
-        return g
+        def typed(value: F.Column, key: str, tags: set[str]) -> F.Column:
+            try:
+                return decode(value, widest(tags))[0]
+            except GraphError:
+                if not exact:
+                    raise
+                # values of several kinds under one key: an error to those who read it, and to nobody else
+                return F.when(value.isNotNull(), F.raise_error(F.lit(f"TYPE_ERROR: values of the kinds {sorted(tags)} under {key}")).cast("string"))
+
+        exact = False
+
+        def of(kinds: Kinds) -> Graph:
+            nodes = columns(self.nodes, {"id": "_id", "labels": "_labels"}, kinds.node)
+            g = Graph(spark, [NodeTable(None, nodes)], [], dict(schema.get("indexes", {})), dict(schema.get("constraints", {})), dict(schema.get("graph_type", {})), version)
+            for t, tags in sorted(kinds.rel.items()):
+                g.rels.append(RelTable(t, columns(self.rels.where(F.col("type") == t), {"id": "_id", "src": "_src", "dst": "_dst"}, tags)))
+            return g
+
+        if self.kinds is not None:
+            try:
+                return of(self.kinds)
+            except GraphError:  # tags that the records may not hold any more
+                pass
+        exact = True
+        return of(self.scan_kinds())
 
     def slots(self) -> DataFrame:
         """slot (text), value: what diff and merge compare."""
@@ -90,8 +147,29 @@ class State:
         return cls(nodes.where("there").select("id", "labels", "props"), rels)
 
 
+def _differing(kind: str, frames: list[DataFrame]) -> DataFrame:
+    """Ids of the records that are not the same in all of some tables, compared as digests by id."""
+    both = None
+    for i, df in enumerate(frames):
+        cols = [F.array_sort(F.map_entries("props")).alias("props") if c == "props" else F.col(c) for c in df.columns if c != "id"]
+        one = df.select("id", F.md5(F.to_json(F.struct(*cols))).alias(f"d{i}"))
+        both = one if both is None else both.join(one, "id", "full")
+    same = F.lit(True)
+    for i in range(1, len(frames)):
+        same = same & F.col("d0").eqNullSafe(F.col(f"d{i}"))
+    return written(both.where(~same).select("id"), f"differing-{kind}")
+
+
+def _parted(states: list[State]) -> tuple[list[State], State]:
+    """The records that differ, of each state; and those that are the same in all."""
+    n, r = _differing("nodes", [s.nodes for s in states]), _differing("rels", [s.rels for s in states])
+    last = states[-1]
+    return [State(s.nodes.join(n, "id", "left_semi"), s.rels.join(r, "id", "left_semi")) for s in states], State(last.nodes.join(n, "id", "left_anti"), last.rels.join(r, "id", "left_anti"))
+
+
 def changes(before: State, after: State) -> DataFrame:
     """slot, op, before, after for each slot in which two states differ."""
+    (before, after), _ = _parted([before, after])
     a = before.slots().withColumnRenamed("value", "before")
     b = after.slots().withColumnRenamed("value", "after")
     both = a.join(b, "slot", "full").where("not before <=> after")
@@ -105,7 +183,18 @@ def changes(before: State, after: State) -> DataFrame:
 
 
 def three_way(base: State, ours: State, theirs: State) -> DataFrame:
-    """slot, base, ours, theirs, merged, conflict, by the rule of one changed side."""
+    """slot, base, ours, theirs, merged, conflict, by the rule of one changed side.
+
+    Records are compared whole first; only those that differ fall apart into slots that are
+    joined, the slots of all others are the same on every side.
+    """
+    (base, ours, theirs), same = _parted([base, ours, theirs])
+    v = F.col("value")
+    rest = same.slots().select("slot", v.alias("base"), v.alias("ours"), v.alias("theirs"), v.alias("merged"), F.lit(False).alias("conflict"))
+    return _by_slot(base, ours, theirs).union(rest)
+
+
+def _by_slot(base: State, ours: State, theirs: State) -> DataFrame:
     x = base.slots().withColumnRenamed("value", "base")
     y = ours.slots().withColumnRenamed("value", "ours")
     z = theirs.slots().withColumnRenamed("value", "theirs")

@@ -1,7 +1,8 @@
 """A versioned graph: an immutable commit DAG over Parquet layers, with branches and tags.
 
-``catalog.json`` (small: commits, refs, sessions) is replaced as a whole by each change;
-layers are folders of changed records.  Data work is Spark's; the driver only walks the
+The catalog (small: commits, refs, sessions) is a text for each change, ``catalog/<n>.json``;
+a change creates the next one, which only one writer can, so that a crash loses nothing and
+of two writers one is told.  Layers are folders of changed records.  Data work is Spark's; the driver only walks the
 DAG.
 """
 
@@ -20,39 +21,57 @@ from pyspark.sql import functions as F
 from ..cypher import parse
 from ..errors import GraphError, invalid
 from ..plans.query import Compiler
+from ..plans.scratch import written
 from ..session import Result, graph_procedures, kind_of
 from ..sources.graph import Graph
 from . import files
-from .state import NODES, RELS, State, changes, three_way
+from .state import NODES, RELS, Kinds, State, changes, three_way
 from .writer import Writer, validate
 
 #: Layers along the first parents after which a snapshot is written.
 CHECKPOINT = 32
+#: Catalog texts that are kept.
+EDITIONS = 16
 
 
 class GraphStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.catalog = json.loads(files.read_text(spark, f"{self.path}/catalog.json"))
+        self._load()
         self.staged: Writer | None = None
         self.providers: dict[str, object] = {}
 
+    def _load(self) -> None:
+        """The latest catalog."""
+        self.edition = max((int(x.removesuffix(".json")) for x in files.names(self.spark, f"{self.path}/catalog") if x.endswith(".json")), default=None)
+        if self.edition is None:
+            raise GraphError("NOT_FOUND", f"no graph store at {self.path}")
+        self.catalog = json.loads(files.read_text(self.spark, self._catalog(self.edition)))
+        self._merges: dict[tuple[str, str], DataFrame] = {}
+
     @classmethod
     def create(cls, spark: SparkSession, path: str) -> "GraphStore":
         """A store with a root commit and the branch main."""
         path = path.rstrip("/")
-        if files.exists(spark, f"{path}/catalog.json"):
-            raise GraphError("ALREADY_EXISTS", path)
         catalog = {"database": str(uuid.uuid4()), "commits": {}, "branches": {}, "tags": {}, "active": "main", "data": {}, "sessions": {}, "next": {"node": 1, "rel": 1}}
-        files.write_text(spark, f"{path}/catalog.json", json.dumps(catalog))
+        if not files.create_text(spark, f"{path}/catalog/{0:012d}.json", json.dumps(catalog)):
+            raise GraphError("ALREADY_EXISTS", path)
         store = cls(spark, path)
-        root = store._commit([], None, {}, "", "root")
+        root = store._commit([], None, {}, {}, "", "root")
         store.catalog["branches"]["main"] = root
         store._save()
         return store
 
+    def _catalog(self, edition: int) -> str:
+        return f"{self.path}/catalog/{edition:012d}.json"
+
     def _save(self) -> None:
-        files.write_text(self.spark, f"{self.path}/catalog.json", json.dumps(self.catalog))
+        if not files.create_text(self.spark, self._catalog(self.edition + 1), json.dumps(self.catalog)):
+            self._load()
+            raise GraphError("VERSION_CONFLICT", "another writer has changed the store")
+        self.edition += 1
+        if self.edition >= EDITIONS:
+            files.delete(self.spark, self._catalog(self.edition - EDITIONS))
 
     # the DAG
     def resolve(self, version: str | None) -> str:
@@ -78,7 +97,8 @@ class GraphStore:
     def merge_bases(self, a: str, b: str) -> list[str]:
         """Best common ancestors: those that no other common ancestor descends from."""
         common = self.ancestors(a) & self.ancestors(b)
-        return sorted(x for x in common if not any(x != y and x in self.ancestors(y) for y in common))
+        # with a common ancestor all its ancestors are common: the best ones are no parents of others
+        return sorted(common - {p for x in common for p in self.catalog["commits"][x]["parents"]})
 
     def first_parents(self, commit: str) -> list[str]:
         out = [commit]
@@ -86,8 +106,8 @@ class GraphStore:
             out.append(parents[0])
         return out
 
-    def _commit(self, parents: list[str], layer: str | None, schema: dict, author: str, message: str) -> str:
-        meta = {"parents": parents, "layer": layer, "schema": schema, "author": author, "message": message, "time": time.time()}
+    def _commit(self, parents: list[str], layer: dict | None, schema: dict, kinds: dict, author: str, message: str) -> str:
+        meta = {"parents": parents, "layer": layer, "schema": schema, "kinds": kinds, "author": author, "message": message, "time": time.time()}
         name = hashlib.sha256(json.dumps({"format": 1, **meta}, sort_keys=True).encode()).hexdigest()
         self.catalog["commits"][name] = meta
         return name
@@ -108,18 +128,25 @@ class GraphStore:
             chain.append(c)
         start = State(self.spark.read.schema(NODES).parquet(f"{self.path}/snapshots/{base}/nodes"), self.spark.read.schema(RELS).parquet(f"{self.path}/snapshots/{base}/rels")) if base else State.empty(self.spark)
         layers = [self.catalog["commits"][c]["layer"] for c in reversed(chain) if self.catalog["commits"][c]["layer"]]
-        if not layers:
-            return start
+        start.kinds = self.kinds_of(commit)
 
         def latest(base_df: DataFrame, kind: str, schema: str) -> DataFrame:
+            mine = [x["name"] for x in layers if kind in x["parts"]]
+            if not mine:
+                return base_df
+            if not base and len(mine) == 1:
+                return self.spark.read.schema(f"{schema}, deleted boolean").parquet(f"{self.path}/layers/{mine[0]}/{kind}").where("not deleted").drop("deleted")
             df = base_df.withColumn("deleted", F.lit(False)).withColumn("seq", F.lit(-1))
-            for i, layer in enumerate(layers):
+            for i, layer in enumerate(mine):
                 df = df.unionByName(self.spark.read.schema(f"{schema}, deleted boolean").parquet(f"{self.path}/layers/{layer}/{kind}").withColumn("seq", F.lit(i)))
             cols = [c for c in base_df.columns if c != "id"]
             top = df.groupBy("id").agg(F.max_by(F.struct(*cols, "deleted"), "seq").alias("x"))
             return top.where("not x.deleted").select("id", *[F.col(f"x.{c}").alias(c) for c in cols])
 
-        return State(latest(start.nodes, "nodes", NODES), latest(start.rels, "rels", RELS))
+        return State(latest(start.nodes, "nodes", NODES), latest(start.rels, "rels", RELS), start.kinds)
+
+    def kinds_of(self, commit: str) -> Kinds:
+        return Kinds(self.catalog["commits"][commit]["kinds"])
 
     def schema_of(self, commit: str) -> dict:
         return copy.deepcopy(self.catalog["commits"][commit]["schema"])
@@ -128,12 +155,12 @@ class GraphStore:
         commit = self.resolve(version)
         return self.state(commit).graph(self.spark, self.schema_of(commit), commit)
 
-    def _write_layer(self, nodes: DataFrame | None, rels: DataFrame | None) -> str:
-        layer = uuid.uuid4().hex
-        nodes = nodes if nodes is not None else self.spark.createDataFrame([], f"{NODES}, deleted boolean")
-        rels = rels if rels is not None else self.spark.createDataFrame([], f"{RELS}, deleted boolean")
-        nodes.select("id", "labels", "props", "deleted").write.parquet(f"{self.path}/layers/{layer}/nodes")
-        rels.select("id", "type", "src", "dst", "props", "deleted").write.parquet(f"{self.path}/layers/{layer}/rels")
+    def _write_layer(self, nodes: DataFrame | None, rels: DataFrame | None) -> dict:
+        layer = {"name": uuid.uuid4().hex, "parts": []}
+        for part, df, columns in (("nodes", nodes, ("id", "labels", "props", "deleted")), ("rels", rels, ("id", "type", "src", "dst", "props", "deleted"))):
+            if df is not None:
+                df.select(*columns).write.parquet(f"{self.path}/layers/{layer['name']}/{part}")
+                layer["parts"].append(part)
         return layer
 
     def commit_state(self, parents: list[str], before: State, after: State, schema: dict, author: str, message: str) -> str:
@@ -148,10 +175,10 @@ class GraphStore:
             return both.select("id", *[value[c].alias(c) for c in cols], F.col("y").isNull().alias("deleted"))
 
         layer = self._write_layer(delta(before.nodes, after.nodes), delta(before.rels, after.rels))
-        return self._finish(parents, layer, schema, author, message)
+        return self._finish(parents, layer, schema, after.scan_kinds(), author, message)
 
-    def _finish(self, parents: list[str], layer: str | None, schema: dict, author: str, message: str) -> str:
-        commit = self._commit(parents, layer, schema, author, message)
+    def _finish(self, parents: list[str], layer: dict | None, schema: dict, kinds: Kinds, author: str, message: str) -> str:
+        commit = self._commit(parents, layer, schema, kinds.plain(), author, message)
         depth = 0
         for c in self.first_parents(commit):
             if files.exists(self.spark, f"{self.path}/snapshots/{c}/nodes/_SUCCESS"):
@@ -171,16 +198,19 @@ class GraphStore:
             for i, f in enumerate(frames):
                 f = f.withColumn("_seq", F.lit(i))
                 out = f if out is None else out.unionByName(f)
-            if out is None:
-                return None
+            if out is None or len(frames) == 1:
+                return out
             cols = [c for c in out.columns if c not in ("id", "_seq")]
             return out.groupBy("id").agg(F.max_by(F.struct(*cols), "_seq").alias("x")).select("id", *[F.col(f"x.{c}").alias(c) for c in cols])
 
+        nodes, rels = last(w.node_deltas), last(w.rel_deltas)
         for c in w.schema.get("constraints", {}).values():
-            validate(w.state, c, None)
+            touched = nodes if c["entity"] == "NODE" else rels
+            if touched is not None:
+                validate(w.state, c, touched.select("id"))
         head = self.catalog["branches"][self.catalog["active"]]
-        layer = self._write_layer(last(w.node_deltas), last(w.rel_deltas)) if w.node_deltas or w.rel_deltas else None
-        commit = self._finish([head], layer, copy.deepcopy(w.schema), author, message)
+        layer = self._write_layer(nodes, rels) if w.node_deltas or w.rel_deltas else None
+        commit = self._finish([head], layer, copy.deepcopy(w.schema), w.state.kinds or w.state.scan_kinds(), author, message)
         self.catalog["branches"][self.catalog["active"]] = commit
         self._save()
         w.node_deltas.clear()
@@ -239,8 +269,6 @@ class GraphStore:
         df = compiler.result(rows, names) if names else None
         if writer is not None:
             if df is not None:
-                from ..plans.scratch import written
-
                 df = written(df, "result")
             if view:
                 self._guard(writer, view)
@@ -359,7 +387,10 @@ class GraphStore:
 
     def merge_rows(self, name: str) -> DataFrame:
         s = self.session(name)
-        return three_way(self.base_state(s["ours"], s["theirs"]), self.state(s["ours"]), self.state(s["theirs"]))
+        key = s["ours"], s["theirs"]
+        if key not in self._merges:  # two commits never change: their comparison is made once
+            self._merges[key] = written(three_way(self.base_state(*key), self.state(key[0]), self.state(key[1])), "merge")
+        return self._merges[key]
 
     def conflicts(self, name: str) -> DataFrame:
         s = self.session(name)
@@ -459,9 +490,8 @@ class GraphStore:
         for c in reversed(mine):
             meta = self.catalog["commits"][c]
             state2, conflicts = self._replay(state, self.state(meta["parents"][0]), self.state(c))
-            found = conflicts.select("slot").orderBy("slot").limit(256).collect()
-            if found:
-                return "conflicted", None, 0, [r[0] for r in found]
+            if not conflicts.isEmpty():  # as many as there are; nothing else of the replay is collected
+                return "conflicted", None, 0, [r[0] for r in conflicts.select("slot").orderBy("slot").toLocalIterator()]
             at = self.commit_state([at], state, state2, meta["schema"], meta["author"], meta["message"])
             state = state2
         self.catalog["branches"][self.catalog["active"]] = at
@@ -523,13 +553,13 @@ class GraphStore:
         for r in roots:
             live |= self.ancestors(r)
         dead = [c for c in self.catalog["commits"] if c not in live]
-        kept_layers = {self.catalog["commits"][c]["layer"] for c in live}
+        kept_layers = {x["name"] for c in live if (x := self.catalog["commits"][c]["layer"])}
         out = {"commits": len(dead), "layers": 0, "schemas": 0, "checkpoints": 0, "commitData": 0}
         for c in dead:
             layer = self.catalog["commits"].pop(c)["layer"]
             out["commitData"] += self.catalog["data"].pop(c, None) is not None
-            if layer and layer not in kept_layers:
-                files.delete(self.spark, f"{self.path}/layers/{layer}")
+            if layer and layer["name"] not in kept_layers:
+                files.delete(self.spark, f"{self.path}/layers/{layer['name']}")
                 out["layers"] += 1
             if files.exists(self.spark, f"{self.path}/snapshots/{c}"):
                 files.delete(self.spark, f"{self.path}/snapshots/{c}")

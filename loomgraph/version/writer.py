@@ -19,15 +19,18 @@ from ..plans.patterns import required_labels
 from ..plans.query import Compiler
 from ..plans.scratch import written
 from ..plans.values import STRING, Element, Rows, Val, Value, fresh, is_map, is_node, is_path, is_rel
-from .codec import encode
+from .codec import encode, tag_of
 from .state import State
 
 ROW = "_row"
+#: Staged changes that a plan applies one upon another before the state is written.
+DEPTH = 8
 
 
 class Writer:
     def __init__(self, store, state: State, schema: dict):
-        self.store, self.state, self.schema = store, state, schema
+        self.store, self.schema = store, schema
+        self.state = State(state.nodes, state.rels, (state.kinds or state.scan_kinds()).copy())
         self.node_deltas: list[DataFrame] = []
         self.rel_deltas: list[DataFrame] = []
         self.counters: dict[str, int] = {}
@@ -41,7 +44,9 @@ class Writer:
         if rels is not None:
             rels = written(rels, "delta-rels")
             self.rel_deltas.append(rels)
-        self.state = self.state.apply(nodes, rels).kept("staged")
+        self.state = self.state.apply(nodes, rels)
+        if (len(self.node_deltas) + len(self.rel_deltas)) % DEPTH == 0:  # the plan would grow with every clause
+            self.state = self.state.kept("staged")
         compiler.graph = self.state.graph(compiler.graph.spark, self.schema)
 
     def count(self, name: str, n: int) -> None:
@@ -50,6 +55,8 @@ class Writer:
 
     def numbered(self, rows: Rows) -> Rows:
         """Rows as a table with a dense number in ``ROW``."""
+        if rows.unit:
+            return rows.with_(df=rows.df.withColumn(ROW, F.lit(0).cast("long")), unit=False)
         df = rows.df.drop(ROW) if ROW in rows.df.columns else rows.df
         df = df.withColumn("_pid", F.spark_partition_id())
         df = df.withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(F.monotonically_increasing_id())))
@@ -70,8 +77,9 @@ class Writer:
 
     # create
     def do_create(self, compiler: Compiler, c: T, rows: Rows) -> Rows:
+        total = 1 if rows.unit else None
         rows = self.numbered(rows)
-        total = rows.df.count()
+        total = total or rows.df.count()
         for part in c.pattern:
             rows = self.create_part(compiler, part, rows, total)
         return rows
@@ -92,6 +100,7 @@ class Writer:
                 x = Expressions(rows, compiler.params)
                 labels = self.label_array(x, e.labels)
                 props, types = self.prop_map(x, e.props)
+                self.state.kinds.add(None, {k: tag_of(v.type) for k, v in types.items()})
                 base = self.store.take_ids("node", total)
                 el = Element("node", fresh("id"), {"labels": fresh("labels")}, {})
                 df = rows.df.withColumn(el.id, F.lit(base) + F.col(ROW)).withColumn(el.meta["labels"], labels)
@@ -119,6 +128,7 @@ class Writer:
             a, b = (names[i - 1], names[i + 1]) if e.direction == "out" else (names[i + 1], names[i - 1])
             x = Expressions(rows, compiler.params)
             props, types = self.prop_map(x, e.props)
+            self.state.kinds.add(e.types.name, {k: tag_of(v.type) for k, v in types.items()})
             base = self.store.take_ids("rel", total)
             el = Element("rel", fresh("id"), {"type": fresh("type"), "src": fresh("src"), "dst": fresh("dst")}, {})
             df = rows.df.withColumns({el.id: F.lit(base) + F.col(ROW), el.meta["type"]: F.lit(e.types.name), el.meta["src"]: F.col(rows.scope[a].id), el.meta["dst"]: F.col(rows.scope[b].id)})
@@ -193,7 +203,9 @@ class Writer:
             if isinstance(v.type, S.MapType):
                 entries: dict[str, F.Column] = {}
             elif is_map(v.type):
-                entries = {f.name: encode(Val(v.col.getField(f.name), f.dataType)) for f in v.type}
+                values = {f.name: Val(v.col.getField(f.name), f.dataType) for f in v.type}
+                entries = {k: encode(i) for k, i in values.items()}
+                self.tagged(el, values)
             else:
                 raise GraphError("TYPE_ERROR", "SET needs a map")
             replace = not item.add
@@ -206,13 +218,23 @@ class Writer:
             if base.kind != "var" or not isinstance(key, str):
                 raise semantic("SET needs a property of a variable")
             el = self.bound(rows, base.name)
-            entries, replace = {key: encode(x(item.value))}, False
+            value = x(item.value)
+            entries, replace = {key: encode(value)}, False
+            self.tagged(el, {key: value})
         pairs = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in entries.items()]) if entries else F.array().cast("array<struct<k:string,v:string>>")
         latest = rows.df.where(F.col(el.id).isNotNull()).groupBy(F.col(el.id).alias("id")).agg(F.max_by(pairs, F.col(ROW)).alias("new"))
         self.write_props(compiler, el.kind, latest, replace)
         self.count("propertiesSet", len(entries))
         return self.refreshed(compiler, rows)
 
+    def tagged(self, el: Element, values: dict[str, Val]) -> None:
+        """The kinds of values that elements are about to get."""
+        tags = {k: tag_of(v.type) for k, v in values.items() if not isinstance(v.type, S.NullType)}
+        if el.kind == "node":
+            self.state.kinds.add(None, tags)
+        else:
+            self.state.kinds.add_to_all_types(tags)
+
     def write_props(self, compiler: Compiler, kind: str, latest: DataFrame, replace: bool) -> None:
         """Put new values (null: remove) into the records of some ids."""
         keys = F.transform("new", lambda p: p["k"])
@@ -348,7 +370,7 @@ class Writer:
                 out = self.by_turns(compiler, items, out, new)
             done.append(out)
         done = [self.refreshed(compiler, o) for o in done if new or o.scope]
-        names = list(dict.fromkeys(v for o in done for v in o.scope))
+        names = [v for v in dict.fromkeys(v for o in done for v in o.scope) if all(v in o.scope for o in done)]
         frames, scope = [], {}
         for o in done:
             structs = {v: (b.struct() if isinstance(b, Element) else Val(F.col(b.name), b.type)) for v, b in o.scope.items()}
@@ -528,7 +550,8 @@ def validate(state: State, constraint: dict, ids: DataFrame | None) -> None:
         df = state.rels.where(F.col("type").isin(constraint["labels"]))
     values = [F.try_element_at("props", F.lit(p)).alias(f"_{i}") for i, p in enumerate(constraint["properties"])]
     names = [f"_{i}" for i in range(len(values))]
-    df = df.select("id", *values)
+    every = df.select("id", *values)
+    df = every if ids is None else every.join(ids, "id", "left_semi")
     kind = constraint["type"]
     bad = None
     some_null = F.lit(False)
@@ -537,7 +560,9 @@ def validate(state: State, constraint: dict, ids: DataFrame | None) -> None:
     if kind in ("NOT NULL", "KEY"):
         bad = df.where(some_null)
     if kind in ("KEY", "UNIQUE") and (bad is None or bad.isEmpty()):
-        bad = df.where(~some_null).groupBy(*names).count().where("count > 1")
+        if ids is not None:  # the values of the given records, wherever they stand
+            every = every.join(df.select(*names).distinct(), names, "left_semi")
+        bad = every.where(~some_null).groupBy(*names).count().where("count > 1")
     if kind == "TYPE":
         allowed = [TAGS.get(t.strip().removesuffix(" NOT NULL"), "L" + TAGS.get(t.strip()[5:-1].removesuffix(" NOT NULL"), "s") if t.strip().startswith("LIST<") else t.strip()) for t in constraint["type_text"].split("|")]
         bad = df.where(F.col("_0").isNotNull() & ~F.regexp_extract("_0", "^([^:]*):", 1).isin(allowed))
