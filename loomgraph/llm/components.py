@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import looked_up, written
 
 #: Link tables of up to this many rows are joined up in one task (about 60 MB); larger ones in rounds.
 ONE_TASK = 1_000_000
@@ -52,7 +52,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component``: each linked node with the smallest node that it reaches.
 
     Links may repeat and run either way; null ends and self-links are dropped.  A node of
-    large degree is grouped by map-side minima, never gathered.  Rounds stop when the
+    large degree is grouped by map-side minima, and its least neighbour is broadcast to its
+    links: they are never gathered.  Rounds stop when the
     table of (node, parent) no longer changes; every round is a written table.
     """
     x, y = F.least(a, b), F.greatest(a, b)
@@ -64,11 +65,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large star: every larger neighbour of u (and u's own) hangs on u's least neighbour
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree")), "least")
+        large = looked_up(both, least, ["u"], "degree", inner=True).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every smaller neighbour of u, and u, hang on the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), "least")
+        small = looked_up(large, least, ["u"], "degree", inner=True)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         pairs = written(small.where("u <> v").distinct(), "links")
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

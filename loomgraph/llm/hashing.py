@@ -12,11 +12,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
-
-# Workers live from task to task: large blocks go back to the system when they are freed.
-with contextlib.suppress(OSError, AttributeError):
-    ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-    pa.set_memory_pool(pa.system_memory_pool())
+from pyspark import TaskContext
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -30,6 +26,7 @@ _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _tables: dict[str, np.ndarray] = {}
+_lean = False
 
 
 def powers(kind: str, n: int) -> np.ndarray:
@@ -51,8 +48,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def lean() -> None:
+    """In a Python worker, which lives from task to task, once: large blocks go back to the system when
+    they are freed.  The driver's process is left as it is."""
+    global _lean
+    if not _lean and TaskContext.get() is not None:
+        _lean = True
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            pa.set_memory_pool(pa.system_memory_pool())
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (length + 1) of a string or binary array; nulls are empty."""
+    lean()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
