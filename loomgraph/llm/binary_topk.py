@@ -13,8 +13,9 @@ codes are held once with their k least ids, which is all that an answer can use.
 
 Ties go to the smaller id.  Defined results: null, empty or non-finite vectors have no
 code, are never found and get no rows as queries; rows repeated as they are count once;
-vectors of unlike dimensions are never compared; a query does not find its own id; with
-fewer than k others, all are returned.
+vectors of unlike dimensions are never compared, and long ones are codes of as many segments;
+a query does not find its own id; with fewer than k others, all are returned; an empty table
+of codes or of queries gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,11 @@ spanning forest, never as pairs.
 
 Defined results: null, empty or zero vectors, and those with null or non-finite
 components, link with nothing, as do rows with a null label or vec_id; a row repeated as
-it is counts once; vectors of unlike dimensions never link.  Other columns are ignored.
+it is counts once as a partner, and each of its repetitions is returned; a cosine of exactly
+the threshold is a link; vectors of unlike dimensions never link; vectors are scaled by
+their largest component first, so that no square overflows or vanishes; long vectors are
+compared whole; an empty table gives no rows.  Other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned, written
+from .common import looked_up, tuned, written
 from .components import components, forest
 
 COSINE = 0.93
@@ -54,11 +58,17 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     return centre
 
 
+def directions(v: np.ndarray) -> np.ndarray:
+    """Vectors of length one; components are scaled before they are squared."""
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 class Index:
     """Coarse centroids and residual codebooks for unit vectors of one dimension."""
 
     def __init__(self, sample: np.ndarray, lists: int):
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        unit = directions(sample)
         self.centre = kmeans(unit, max(1, lists))
         near = self.nearest(unit)
         rest = unit - self.centre[near]
@@ -105,11 +115,12 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     spark = rows.sparkSession
     tuned(spark)
     r = float(np.sqrt(2 - 2 * cosine))
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label")).distinct()
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0)
     sound &= F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("g", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", "v")))
-    groups = rows.where("g is not null").groupBy("g", "label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    once = rows.where("g is not null").distinct()
+    groups = once.groupBy("g", "label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     groups = written(groups, "vectors")
     dims = [x[0] for x in groups.select(F.size("v")).distinct().collect()]
     found = None
@@ -123,8 +134,8 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     # a link between groups joins their first vectors; copies join their group's first
     joined = components(found.where("root <> rep"), "rep", "root").withColumnRenamed("node", "rep")
     known = groups.join(counts, "g", "left").join(joined, "rep", "left")
-    known = known.select("g", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = rows.select("vec_id", "g").join(known, "g", "left")
+    known = written(known.select("g", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"), "copies"), "vector-groups")
+    out = looked_up(rows.select("vec_id", "g"), known, ["g"], "copies")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"), F.coalesce(F.coalesce("c", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
@@ -139,7 +150,7 @@ def _links(groups: DataFrame, dim: int, cosine: float, r: float) -> DataFrame:
         index = shared.value
         for b in batches:
             v = b.column(2).flatten().to_numpy().reshape(-1, dim)
-            unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+            unit = directions(v)
             near = index.nearest(unit)
             if query:
                 row, lists = np.nonzero(index.probes(unit, near, r))
@@ -149,7 +160,7 @@ def _links(groups: DataFrame, dim: int, cosine: float, r: float) -> DataFrame:
                 row, lists = np.arange(len(v)), near
                 codes, error = index.encode(unit, near)
                 code = [c.tobytes() for c in codes]
-            raw = [x.tobytes() for x in v]
+            raw = [x.tobytes() for x in unit]
             take = b.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([take.column(0), take.column(1), take.column(3), take.column(4), pa.array(lists.astype(np.int32)), pa.array([raw[i] for i in row], pa.binary()), pa.array(code, pa.binary()), pa.array(error)], ["g", "label", "rep", "copies", "list", "v", "code", "error"])
 
@@ -173,14 +184,12 @@ def _links(groups: DataFrame, dim: int, cosine: float, r: float) -> DataFrame:
         index = shared.value
         codes = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1)
         out = []
-        vb = np.frombuffer(b"".join(b["v"]), float).reshape(-1, dim)
-        ub = vb / np.linalg.norm(vb, axis=1, keepdims=True)
+        ub = np.frombuffer(b"".join(b["v"]), float).reshape(-1, dim)
         gb, rb, copies, error = (b[c].to_numpy() for c in ("g", "rep", "copies", "error"))
         gq_all, rq_all, copies_all, away_all = (q[c].to_numpy() for c in ("g", "rep", "copies", "away"))
-        vq_all = np.frombuffer(b"".join(q["v"]), float).reshape(-1, dim)
+        uq_all = np.frombuffer(b"".join(q["v"]), float).reshape(-1, dim)
         for i in range(0, len(q), BLOCK):
-            vq, gq, rq = vq_all[i : i + BLOCK], gq_all[i : i + BLOCK], rq_all[i : i + BLOCK]
-            uq = vq / np.linalg.norm(vq, axis=1, keepdims=True)
+            uq, gq, rq = uq_all[i : i + BLOCK], gq_all[i : i + BLOCK], rq_all[i : i + BLOCK]
             maybe = index.lookup(uq, int(q["list"].iloc[0]), codes) - error[None, :] <= r + 1e-6
             x, y = np.nonzero(maybe)
             other = gq[x] != gb[y]

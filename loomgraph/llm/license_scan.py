@@ -13,7 +13,11 @@ passage is reported when its matched words cover ``coverage`` of the template; o
 overlapping reports for one document the one with more matched words stays.
 
 Defined results: null or empty text has no rows; a template found twice in a document
-gives a row for each place; rows may repeat; other columns are ignored.
+gives a row for each place; of overlapping reports with equally many matched words the
+template that comes first in the list stays; rows may repeat, and each has its reports;
+very long texts are scanned whole, and only the words around hits are aligned; a null doc_id
+is returned as it is; an empty table gives no rows; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ below stay, and those near it get an exact distinct count.  Only DataFrame funct
 Defined results: lines are what stands between line feeds, compared after trimming
 spaces, tabs and carriage returns; blank lines always stay; a null site counts as no
 site; null text stays null with no lines; an empty text has one blank line; rows may
-repeat, and each is cleaned.  All columns stay; ``line_dedup`` (struct of n_lines and
-n_removed) is added, in place of a column of that name.
+repeat, and each is cleaned; the order of lines stays, and a line that repeats within a text
+goes or stays each time; very long texts and lines are taken whole; an empty table gives no
+rows.  All columns stay; ``line_dedup`` (struct of n_lines and n_removed) is added, in place
+of a column of that name.
 """
 
 from __future__ import annotations
