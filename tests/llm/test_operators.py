@@ -97,6 +97,41 @@ def test_suffix_dedup(docs, rows, none):
     assert repeat_report(none).count() == 0
 
 
+def bytes_removed(texts, length):
+    """Brute force: of each text in order, what strings of a length that start earlier leave."""
+    seen, out = set(), []
+    for b in texts:
+        gone = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if b[s : s + length] in seen:
+                gone[s : s + length] = b"\1" * length
+            seen.add(b[s : s + length])
+        out.append((sum(gone), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("length", [30, 200])
+def test_suffix_dedup_of_any_length(spark, length):
+    """One round and three rounds of doubling, with repeats in one text, overlaps and periods."""
+    from loomgraph.llm.suffix_dedup import plan, repeat_report
+
+    assert len(plan(length).offsets) == {30: 1, 200: 3}[length] and plan(length).first + sum(plan(length).offsets) == length
+    rng = np.random.default_rng(21)
+    shared = [prose(rng, 70) for _ in range(4)]
+    texts = [prose(rng, 40) + " " + shared[i % 4] + " " + prose(rng, 30) + (" " + shared[(i + 1) % 4][7:300] if i % 3 == 0 else "") for i in range(14)]
+    texts += ["ab" * 400, "x" * 50 + "ab" * 300, shared[0] + shared[0], texts[3], "é" * 150, ""]
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in repeat_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), length).collect()}
+    assert got == dict(enumerate(bytes_removed([t.encode() for t in texts], length)))
+
+
+def test_suffix_dedup_without_repeats(spark):
+    from loomgraph.llm.suffix_dedup import repeat_report
+
+    rng = np.random.default_rng(22)
+    texts = [prose(rng, 60) for _ in range(6)]
+    assert all(r.n_removed == 0 and r.kept_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in repeat_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+
+
 def test_packing(docs, rows, none):
     from loomgraph.llm.packing import best_fit, pack, plan
 
@@ -462,3 +497,60 @@ def test_pipeline_judges_each_row_on_its_text(spark, tmp_path):
     kept = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
     assert len(kept) == len(set(kept)) and len([r for r in kept if r[1] in (b, b + " end")]) == 1
     assert {r for r in kept if r[1] not in (b, b + " end")} == {(5, a), (7, clean), (9, alone), (3, None), (None, ""), (4, "")}
+
+
+@pytest.mark.parametrize("most", [3, 200_000])
+def test_set_join_of_families(spark, most):
+    """Families of edited copies that share boilerplate, with long lists dealt into cells."""
+    from loomgraph.llm.set_join import near_sets
+
+    rng = np.random.default_rng(11)
+    common = prose(rng, 60).split()
+    texts = []
+    for family in range(12):
+        base = prose(rng, 70).split()
+        for copy in range(9):
+            w = list(base)
+            for k in rng.integers(0, len(w), rng.integers(0, 6)):
+                w[k] = f"x{rng.integers(1000)}"
+            cut = int(rng.integers(0, 14))
+            texts.append(" ".join(w[cut:] + common[: 10 * (family % 7)]))
+    texts += texts[:5]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(sets)))
+    for _ in range(len(sets)):
+        new = [min(root[j] for j, y in enumerate(sets) if 100 * len(x & y) >= 75 * len(x | y)) for x in sets]
+        if new == root:
+            break
+        root = new
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most).collect()}
+    assert got == {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, root, strict=True))}
+    assert 12 < len(set(root)) < len(root)
+
+
+def test_remaining_skips_no_pair():
+    """Block skipping against all pairs of entries, with and without cells."""
+    from loomgraph.llm.set_join import need, remaining
+
+    rng = np.random.default_rng(12)
+    n_sets = 120
+    n, comp = rng.integers(20, 60, n_sets), rng.integers(0, 40, n_sets)
+    rows = []
+    for shingle in range(9):
+        for i in np.flatnonzero(rng.random(n_sets) < 0.5):
+            rows.append((shingle, i + 1, int(n[i]), int(rng.integers(0, 12)), int(rng.integers(0, 3)) if shingle > 5 else 0, 2, int(comp[i]), 0, 0))
+    h, rid, size, place, side, first, c, p, o = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    blob = {k: [v.tobytes()] for k, v in {"h": h, "rid": rid, "n": size, "place": place, "side": side, "first": first, "comp": c, "pivot": p, "overlap": o}.items()}
+    got = remaining(pd.DataFrame(blob))
+    want = set()
+    for i in range(len(h)):
+        for j in range(len(h)):
+            if h[i] == h[j] and c[i] != c[j] and (side[i] == 0 or side[i] != side[j]) and rid[i] < rid[j]:
+                small, large = sorted((size[i], size[j]))
+                room = min(size[i] - 2 - place[i], size[j] - 2 - place[j])
+                if 100 * small >= 75 * large and room >= need(size[i], size[j]):
+                    want.add((rid[i], rid[j]))
+    # an entry without a side (0) and one with a side never lie in one cell
+    assert want <= set(zip(got["a"], got["b"], strict=True)) and len(want) > 100
+    plain = {(rid[i], rid[j]) for i in range(len(h)) for j in range(len(h)) if h[i] == h[j]}
+    assert set(zip(got["a"], got["b"], strict=True)) <= plain
