@@ -3,6 +3,14 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which ``run`` writes as Parquet in the shared folder and reads again as the
 next stage's documents.  All stages but the last return the columns of documents.
+
+Defined results: a row is judged on its own text, whatever its doc_id; a null text is an
+empty one to every stage and packs as the end id alone; empty texts are no near copies of
+each other; of rows that have doc_id and text in common
+one stays, the same in every run; rows without a doc_id are judged and kept like others and
+come last where the smallest doc_id stays; of tied rows the smaller row key stays; very long
+texts are taken whole by every stage; empty tables give no rows, and without labels no row
+is toxic; other columns, whatever their names, stay until the last stage.
 """
 
 from __future__ import annotations
@@ -47,13 +55,15 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id stays (rows without one come
-    last); of rows repeated as they are, one."""
+    last); of rows with one doc_id and text, the one whose columns hash least."""
     keys = docs.select(F.col("doc_id").cast("long").alias("__loom_id"), _row().alias("__loom_row")).distinct()
     groups = near_sets(docs.select(_row().alias("doc_id"), "text")).select(F.col("doc_id").alias("__loom_row"), "component_id").distinct()
     first = F.min(F.struct(F.col("__loom_id").isNull(), "__loom_id", "__loom_row")).alias("first")
     stay = keys.join(groups, "__loom_row").groupBy("component_id").agg(first).select("first.__loom_row")
     kept = docs.join(stay, _row() == stay["__loom_row"], "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = kept.groupBy(_row().alias("__loom_row")).agg(F.min_by(every, F.xxhash64(every)).alias("__loom_first"))
+    return first.select(*[F.col("__loom_first")[c].alias(c) for c in docs.columns])
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
