@@ -63,6 +63,13 @@ def needs(tree: T) -> dict[str, set[str] | None]:
         if e.kind == "var":
             add(e.name, None)
             return
+        if e.kind == "delete":  # of a plain variable only the id is asked
+            for i in e.items:
+                if i.kind == "var":
+                    out.setdefault(i.name, set())
+                else:
+                    visit(i)
+            return
         if e.kind in ("return", "with") and e.star:
             add("*", None)
         if e.kind in ("node_pat", "rel_pat") and e.var:
@@ -89,7 +96,7 @@ def needs(tree: T) -> dict[str, set[str] | None]:
             for i in e.items:
                 if i.expr.kind == "var":
                     add(i.expr.name, None)
-        if e.kind in ("set", "remove", "delete", "merge", "create", "foreach"):
+        if e.kind in ("set", "remove", "merge", "create", "foreach"):
             for t in e.walk():
                 if t.kind == "var":
                     add(t.name, None)

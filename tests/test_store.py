@@ -28,8 +28,8 @@ def test_write_branch_merge(store):
 
 
 def test_merge_clause_sees_earlier_rows(store):
-    store.execute("UNWIND [1,1,2] AS id MERGE (c:Counter {id:id}) ON CREATE SET c.hits = 1 ON MATCH SET c.hits = c.hits + 1")
-    assert store.execute("MATCH (c:Counter) RETURN c.id AS id, c.hits AS h ORDER BY id").rows() == [(1, 2), (2, 1)]
+    store.execute("UNWIND ['oak', 'elm', 'oak', 'oak'] AS kind MERGE (t:Tree {kind: kind}) ON CREATE SET t.rings = 100 ON MATCH SET t.rings = t.rings + 5")
+    assert store.execute("MATCH (t:Tree) RETURN t.kind AS k, t.rings AS r ORDER BY k").rows() == [("elm", 100), ("oak", 110)]
 
 
 def test_delete_and_constraint(store):
@@ -50,3 +50,34 @@ def test_time_travel_and_revert(store):
     assert store.execute("MATCH (a:A) RETURN a.v AS v", at=f"commit/{old}").rows() == [(1,)]
     store.revert(store.resolve(None))
     assert store.execute("MATCH (a:A) RETURN a.v AS v").rows() == [(1,)]
+
+
+def test_values_of_two_kinds_harm_only_their_readers(store):
+    store.execute("CREATE (:A {v: 1, w: 'x'}), (:A {v: 'one', w: 'y'})")
+    assert store.execute("MATCH (a:A) RETURN a.w AS w ORDER BY w").rows() == [("x",), ("y",)]
+    with pytest.raises(Exception, match="TYPE_ERROR"):
+        store.execute("MATCH (a:A) RETURN a.v AS v").rows()
+    store.execute("MATCH (a:A {w: 'y'}) DETACH DELETE a")
+    assert store.execute("MATCH (a:A) RETURN a.v AS v").rows() == [(1,)]
+
+
+def test_two_writers(spark, store):
+    store.execute("CREATE (:A {v: 1})")
+    other = GraphStore(spark, store.path)
+    other.execute("MATCH (a:A) SET a.v = 2")
+    with pytest.raises(GraphError, match="VERSION_CONFLICT"):
+        store.execute("MATCH (a:A) SET a.v = 3")
+    assert store.execute("MATCH (a:A) RETURN a.v AS v").rows() == [(2,)]
+    store.execute("MATCH (a:A) SET a.v = 4")
+    assert GraphStore(spark, store.path).execute("MATCH (a:A) RETURN a.v AS v").rows() == [(4,)]
+
+
+def test_best_common_ancestors(store):
+    root = store.resolve(None)
+    store.execute("CREATE (:A)")
+    store.branch_create("side")
+    fork = store.resolve(None)
+    store.execute("CREATE (:B)")
+    store.execute("CREATE (:C)", branch="side")
+    assert store.merge_bases(store.resolve("branch/main"), store.resolve("branch/side")) == [fork]
+    assert store.merge_bases(root, store.resolve(None)) == [root]
