@@ -469,6 +469,9 @@ class Expressions:
             args = [self(x) for x in e.args[:-1]]
             f = {"vector_distance": vectors.distance, "vector_norm": vectors.norm, "vector": vectors.make}[name]
             return f(*args, e.args[-1].value)
+        if name in ("file", "linenumber") and not e.args:
+            b = self.rows.scope.get(f"{name}()")  # of the LOAD CSV whose records these rows are
+            return Val(F.col(b.name), b.type) if b is not None else Val(F.lit(None).cast(STRING if name == "file" else LONG), STRING if name == "file" else LONG)
         if name == "vector":
             return vectors.make(*[self(x) for x in e.args])
         if name in ("all", "any", "none", "single", "exists"):

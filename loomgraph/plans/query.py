@@ -121,6 +121,7 @@ class Compiler:
         self.needed: dict[str, set[str] | None] = {}
         self.imported: set[str] = set()
         self.writer = None
+        self.numbered = False  # whether a query asks for the lines of CSV records
 
     # entry
     def unit(self) -> Rows:
@@ -128,6 +129,7 @@ class Compiler:
 
     def run(self, query: T) -> Rows:
         found = needs(query.body)
+        self.numbered = any(t.kind == "fn" and t.name == "linenumber" for t in query.body.walk())
         self.needed = Everything() if "*" in found else found
         return self.body(query.body, self.unit())
 
@@ -435,7 +437,7 @@ class Compiler:
     def projected(self, c: T, rows: Rows) -> Rows:
         items = list(c.items)
         if c.star:
-            items = [T("item", expr=T("var", name=v), alias=v, explicit=True) for v in sorted(rows.scope) if v not in self.imported or not self.imported] + items
+            items = [T("item", expr=T("var", name=v), alias=v, explicit=True) for v in sorted(rows.scope) if not v.endswith("()") and (v not in self.imported or not self.imported)] + items
         names = [i.alias for i in items]
         if len(set(names)) != len(names):
             raise semantic("two columns of one name")
@@ -684,7 +686,7 @@ class Compiler:
         if body.kind == "single" and body.clauses[0].kind == "with":
             w = body.clauses[0]
             if all(i.expr.kind == "var" and i.alias == i.expr.name for i in w.items) and not w.order and w.where is None and w.limit is None:
-                names = list(rows.scope) if w.star else [i.alias for i in w.items]
+                names = [v for v in rows.scope if not v.endswith("()")] if w.star else [i.alias for i in w.items]
                 if all(n in rows.scope for n in names):
                     return names, T("single", clauses=body.clauses[1:])
         return [], body

@@ -261,6 +261,17 @@ def load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.execute("MATCH (l:Line) RETURN l.key AS k, l.name AS name, l.note AS note").df
 
 
+def load_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and files of records, some of which lack their last field."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    t = table(spark, f"{sf_dir}/nation.parquet")
+    line = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.col("n_name"), F.lit(","), F.col("n_regionkey"))).otherwise(F.col("n_name"))
+    lines = spark.createDataFrame([(-1, "name,region")], "k int, value string").union(t.select("n_nationkey", line))
+    lines.repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    store = GraphStore.create(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    return store.execute(f"LOAD CSV WITH HEADERS FROM '{path}' AS row RETURN row.name AS name, row.region AS r, linenumber() AS l, file() CONTAINS 'part' AS f").df
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_create": _after(read="MATCH (n:Nation)-[i:IN]->(r:Region) RETURN n.name AS n, i.since AS s, r.name AS r", rels=True),
     "store_insert": _after("UNWIND range(1, 3) AS v INSERT (:Mark {v: v})-[:NEXT]->(:Mark {v: v * 10})", read="MATCH (a:Mark)-[:NEXT]->(b) RETURN a.v AS a, b.v AS b"),
@@ -295,6 +306,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_index_rebuild": index_rebuild,
     "store_transaction": transaction,
     "load_csv": load_csv,
+    "load_csv_lines": load_csv_lines,
 }
 _K = "n_nationkey::BIGINT"
 ORACLE_SQL: dict[str, str] = {
@@ -326,4 +338,5 @@ FROM (SELECT count(*) AS g FROM nation WHERE n_nationkey > 20)""",
     "store_index_rebuild": "SELECT 'by_key' AS name, count(*)::BIGINT AS n FROM nation",
     "store_transaction": f"SELECT {_K} AS k, CASE n_nationkey WHEN 1 THEN 'one' WHEN 2 THEN 'first' ELSE n_name END AS name, '2,VERSION_CONFLICT' AS said FROM nation UNION ALL SELECT 700, 'made', '2,VERSION_CONFLICT'",
     "load_csv": f"SELECT {_K} AS k, n_name AS name, '' AS note FROM nation",
+    "load_csv_lines": "SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey::VARCHAR END AS r, (n_nationkey + 2)::BIGINT AS l, true AS f FROM nation",
 }
