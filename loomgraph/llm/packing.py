@@ -211,9 +211,10 @@ def runs(packed: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer: str, sequence: int = 1024, end_id: int = 2) -> DataFrame:
     spark = docs.sparkSession
     tuned(spark)
-    cut = written(pieces(docs, tokenizer, sequence, end_id), "pieces")
+    # a number of its own deals each piece, those of repeated rows too; it is written, so that it stays
+    cut = written(pieces(docs, tokenizer, sequence, end_id).withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     total = cut.count()
-    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(fold(total, 1 << 17))).alias("_block")
+    block = F.pmod(F.xxhash64("_piece"), F.lit(fold(total, 1 << 17))).alias("_block")
     counts = cut.groupBy("length", block).agg(F.count("*").alias("n"))
     histogram = np.zeros(sequence + 1, np.int64)
     for size, n in counts.groupBy("length").agg(F.sum("n")).collect():  # a row for each length at most
