@@ -85,6 +85,12 @@ def terms_of(column: F.Column) -> F.Column:
     return F.regexp_extract_all(F.translate(F.lower(column), accents, plain), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def normalised(raw: F.Column) -> F.Column:
+    """A score that is better the higher from a raw rank that is better the lower; a positive rank, which only
+    a term in most of the texts can have, comes after all others."""
+    return F.when(raw <= 0, -raw).otherwise(1 / (1 + raw))
+
+
 def fulltext(graph: Graph, name: str, query: str, options: dict | None = None) -> DataFrame:
     """node (or relationship) id and BM25 score, best first.
 
@@ -137,7 +143,7 @@ def fulltext(graph: Graph, name: str, query: str, options: dict | None = None) -
     for p in phrases:
         words = " ".join(re.findall(r"\w+", fold(p)))
         hit = hit & F.contains(F.concat(F.lit(" "), F.array_join("_terms", " "), F.lit(" ")), F.lit(f" {words} "))
-    out = scored.where(hit).select("_id", total.alias("score")).orderBy(F.desc("score"), "_id")
+    out = scored.where(hit).select("_id", normalised(-total).alias("score")).orderBy(F.desc("score"), "_id")
     if options.get("skip"):
         out = out.offset(int(options["skip"]))
     if options.get("limit") is not None:

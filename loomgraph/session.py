@@ -30,6 +30,12 @@ class Result:
         i = 0 if column is None else self.columns.index(column)
         return [r[i] for r in self.rows()]
 
+    def envelope(self) -> str:
+        """Columns, rows and summary as one typed JSON text."""
+        from .typed_json import envelope
+
+        return envelope(self)
+
     def events(self) -> Iterator[tuple[int, str, object]]:
         """(ordinal, event, data): columns, then each row as it arrives, then the summary."""
         yield 0, "columns", self.columns
@@ -111,11 +117,38 @@ def cypher(graph: Graph, text: str, params: dict | None = None, **options) -> Re
     rows = compiler.run(tree)
     names = list(rows.scope)
     df = compiler.result(rows, names)
-    if tree.mode in ("EXPLAIN", "PROFILE"):
+    if tree.mode == "PROFILE":
+        return Result(names, df, {"type": kind, "profile": profiled(df)})
+    if tree.mode == "EXPLAIN":
         return Result(["plan"], graph.spark.createDataFrame([(df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")),)], "plan string"), {"type": kind})
     return Result(names, df, {"type": kind})
 
 
+def profiled(df: DataFrame) -> list[dict]:
+    """Run a query where its data is, and return the operators of the plan that ran, leaves last, with the
+    rows that each put out (None: it does not count them)."""
+    run = df._jdf.queryExecution()
+    run.toRdd().count()
+    out: list[dict] = []
+
+    def visit(plan, depth: int) -> None:
+        name = plan.nodeName()
+        inner = {"AdaptiveSparkPlan": "executedPlan", "ShuffleQueryStage": "plan", "BroadcastQueryStage": "plan", "ResultQueryStage": "plan", "TableCacheQueryStage": "plan"}.get(name)
+        if inner:
+            visit(getattr(plan, inner)(), depth)
+            return
+        if not name.startswith(("WholeStageCodegen", "InputAdapter")):
+            rows = plan.metrics().get("numOutputRows")
+            out.append({"id": len(out), "operator": name, "depth": depth, "rows": rows.get().value() if rows.isDefined() else None})
+            depth += 1
+        children = plan.children()
+        for i in range(children.size()):
+            visit(children.apply(i), depth)
+
+    visit(run.executedPlan(), 0)
+    return out
+
+
 def validate(text: str) -> dict:
     """Whether a text is a query, without running it."""
     try:

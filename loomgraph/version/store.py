@@ -265,7 +265,7 @@ class GraphStore:
             writer = compiler.writer = self.staged or Writer(self, state, schema)
         rows = compiler.run(tree)
         names = list(rows.scope)
-        summary = {"type": kind}
+        summary = {"type": kind, "commit": commit} if kind == "read" else {"type": kind}
         df = compiler.result(rows, names) if names else None
         if writer is not None:
             if df is not None:
