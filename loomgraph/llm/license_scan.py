@@ -12,6 +12,9 @@ point each and matched words give two, so that parts before and after a change j
 passage is reported when its matched words cover ``coverage`` of the template; of
 overlapping reports for one document the one with more matched words stays.
 
+A notice of which no K words in a row are left as they were has no fingerprint in common
+with its template and is not found.
+
 Defined results: null or empty text has no rows; a template found twice in a document
 gives a row for each place; of overlapping reports with equally many matched words the
 template that comes first in the list stays; rows may repeat, and each has its reports;
