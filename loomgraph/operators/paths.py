@@ -20,6 +20,8 @@ from ..plans.scratch import written
 
 #: Levels that a bounded expansion may have and still be one plan.
 UNROLL = 6
+#: Levels after which the pairs that all levels reached become one table.
+UNITE = 16
 
 
 @dataclass
@@ -61,8 +63,11 @@ def expand(starts: DataFrame, step: Step, low: int, high: int | None, mode: str
             if nxt.isEmpty():
                 break
             if early:
-                new = nxt.select("start", "end").distinct()
-                reached = new if reached is None else written(reached.union(new), "reached")
+                # the levels' own tables say what was reached; they are put together only now and then
+                new = nxt.select("start", "end") if selector == "any_shortest" else nxt.select("start", "end").distinct()
+                reached = new if reached is None else reached.union(new)
+                if level % UNITE == 0:
+                    reached = written(reached, "reached")
         if level >= low:
             found.append(nxt)
         frontier = nxt

@@ -364,6 +364,8 @@ class Matcher:
         if isinstance(there, Element):
             on = on & (F.col(there.id) == F.col(fixed["end"]))
         df = rows.df.join(reached, on)
+        if direction < 0:  # lists go from left to right, whichever end the walk began at
+            df = df.withColumns({fixed[f"g_{v}"]: F.reverse(F.col(fixed[f"g_{v}"])) for v in step.carried})
         scope = dict(rows.scope)
         for v, t in step.carried.items():
             scope[v] = Value(fixed[f"g_{v}"], S.ArrayType(t))
@@ -465,7 +467,20 @@ class Matcher:
                 continue
             rels, nodes, gn, gr = what
             if kind == "back":
-                raise GraphError("UNSUPPORTED", "a named path that is walked from its end; bind its first node")
+                # the walk began at the node on the right: of the nodes that it came by, the last is the one on
+                # the left, which is there already, and the first is where it began
+                here = one(rows.scope[names[i + 1]]) if full and gn else Val(F.struct(F.col(rows.scope[names[i + 1]].id).alias("_id"), F.lit(None).cast("array<string>").alias("_labels")), bare_n)
+                moved = F.size(F.col(nodes)) > 0
+                begin = Val(F.filter(F.array(here.col), lambda _: moved), S.ArrayType(here.type))  # noqa: B023  (called at once)
+                inner = F.greatest(F.size(F.col(nodes)) - 1, F.lit(0))
+                if full and gn:
+                    ns += [Val(F.slice(F.col(gn), F.lit(2), inner), rows.df.schema[gn].dataType), begin]
+                    rs.append(Val(F.col(gr), rows.df.schema[gr].dataType))
+                else:
+                    between = F.reverse(F.slice(F.col(nodes), F.lit(1), inner))
+                    ns += [Val(F.transform(between, lambda x: F.struct(x.alias("_id"), F.lit(None).cast("array<string>").alias("_labels"))), S.ArrayType(bare_n)), begin]
+                    rs.append(Val(F.transform(F.reverse(F.col(rels)), lambda x: F.struct(x.alias("_id"), F.lit(None).cast("string").alias("_type"), F.lit(None).cast("long").alias("_src"), F.lit(None).cast("long").alias("_dst"))), S.ArrayType(bare_r)))
+                continue
             if full and gn:
                 ns.append(Val(F.col(gn), rows.df.schema[gn].dataType))
                 rs.append(Val(F.col(gr), rows.df.schema[gr].dataType))

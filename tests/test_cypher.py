@@ -31,6 +31,8 @@ CASES = [
     ("MATCH (a:Pump {name: 'S'})-[r:PIPE]->(b), (a)-[q:PIPE]->(c) RETURN count(*) AS k", [(2,)]),
     ("MATCH REPEATABLE ELEMENTS (a:Pump {name: 'S'})-[r:PIPE]->(b), (a)-[q:PIPE]->(c) RETURN count(*) AS k", [(4,)]),
     ("MATCH (a:Pump {name: 'S'})-[:PIPE]->{0,2}(b) RETURN b.name AS n, count(*) AS k ORDER BY n", [("E", 1), ("M", 2), ("S", 1), ("W", 1)]),
+    ("MATCH p = (b)<-[r:PIPE*0..2]-(a:Pump {name: 'N'}) RETURN [x IN nodes(p) | x.name] AS n, [x IN r | x.flow] AS f, length(p) AS l ORDER BY l, n[0], n[1]", [(["N"], [], 0), (["E", "N"], [4], 1), (["S", "N"], [3], 1), (["E", "S", "N"], [7, 3], 2), (["M", "E", "N"], [5, 4], 2), (["M", "S", "N"], [6, 3], 2)]),
+    ("MATCH p = (b)<-[:PIPE*2..2]-(a:Pump {name: 'N'}) RETURN length(p) AS l, size(nodes(p)) AS k", [(2, 3)] * 3),
     ("MATCH (a)-[r:PIPE]->(b) WHERE r.flow = 7 RETURN startNode(r).name AS s, endNode(r).name AS e", [("S", "E")]),
     ("UNWIND [5, 8, 6] AS x WITH x ORDER BY x DESC RETURN collect(x) AS l", [([8, 6, 5],)]),
     ("UNWIND [4, 7] AS x CALL (x) { UNWIND [x, 100] AS m RETURN x + m AS p } RETURN x, p ORDER BY x, p", [(4, 8), (4, 104), (7, 14), (7, 107)]),
