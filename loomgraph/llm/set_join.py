@@ -61,8 +61,9 @@ WORDS = 5
 SLICE = 2 << 20
 #: Shingles in a bucket, on average.
 BUCKET = 1_500_000
-#: Rounds of comparing sets with pivots; fewer once only one in FRUITFUL comparisons is a link.
-STAR_ROUNDS, FRUITFUL = 6, 20
+#: Rounds of comparing sets with pivots; fewer where a round finds no link.  What they leave apart of a
+#: group of near copies costs the exact step its square.
+STAR_ROUNDS = 6
 #: Entries of a shingle's list in one task; longer lists are dealt into parts of about so many.
 CUT = 200_000
 #: Sets of a long list that all its parts know as pivots, about.
@@ -512,8 +513,7 @@ def _linked_sets(index: DataFrame, sets: DataFrame, n_buckets: int, most: int) -
         found = written(overlaps(best, sets, differences=True), "overlaps")
         known = found if known is None else known.union(found)
         joined = components(known.where("linked").select("a", "b"))
-        asked, linked = found.agg(F.count("*"), F.count_if("linked")).first()
-        if linked * FRUITFUL < asked:  # what a few links would save, the exact step finds as well
+        if not found.where("linked").limit(1).count():
             break
     # of each set the pivot that it overlaps most, of linked ones first; without one it is its own
     top = known.groupBy("a").agg(F.max(F.struct("linked", "overlap", "b")).alias("top"))
