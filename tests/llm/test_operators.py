@@ -293,6 +293,42 @@ def test_embedding_dedup_finds_all_links_across_lists(spark):
     assert (got <= want + 1).all() and got.sum() >= want.sum() * (1 - 1e-6) and (got != want).sum() <= 2  # rounding at the threshold
 
 
+def test_embedding_dedup_shuffles_no_more_than_its_rounds(spark, monkeypatch):
+    from loomgraph.llm import embedding_dedup as E
+
+    # chunks of 500 vectors; a round of at most the chunks' own bytes
+    for name, value in (("CHUNK", 500 * 64 * 8), ("LEAST", 100), ("ROUND", 0), ("PART", 1 << 20)):
+        monkeypatch.setattr(E, name, value, raising=False)
+    rng = np.random.default_rng(11)
+    n, dim = 12_000, 64
+    assert n > 11 * E.LIST
+    v = rng.normal(size=(n, dim))
+    v[n // 2 :] = v[: n // 2] + rng.normal(size=(n // 2, dim)) * 0.38  # cosines about the threshold
+    v[n - 900 :] = v[0] + rng.normal(size=(900, dim)) * 0.05  # a large group of near copies
+    v[7] = v[3]
+    v = v.astype(np.float32)
+    label = np.where(np.arange(n) % (n // 2) % 5 == 0, 1, 2)
+    label[n - 900 :] = 2
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = [np.flatnonzero((u @ u[i] >= 0.93) & (label == label[i])) for i in range(n)]
+    want = np.array([len(x) - 1 for x in near])
+    root = np.arange(n)
+    while (new := np.array([root[x].min() for x in near])).tolist() != root.tolist():
+        root = new
+    assert 1000 < (want > 0).sum() < n - 1000
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": v.tolist(), "label": label})).selectExpr("vec_id", "cast(embedding as array<float>) embedding", "label")
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = set(stages())
+    got = E.near_vectors(rows, 0.93).toPandas().sort_values("vec_id")
+    assert max(x for i, x in stages().items() if i not in before) < 1.5 * v.nbytes
+    assert got["n_links"].tolist() == want.tolist() and got["component_id"].tolist() == root.tolist()
+
+
 def test_binary_topk(spark):
     from loomgraph.llm.binary_topk import codes, top_k
 
