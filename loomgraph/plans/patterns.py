@@ -4,6 +4,10 @@ A pattern part is walked from a node that is already bound, else from its first
 step joins the rows with the relationship table on the bound end and, only where labels
 or properties of the other end are asked for, with its node table.  Relationship
 uniqueness is a filter between relationships whose types can coincide.
+
+The steps of a clause go in the order in which they are written, unless rows would be
+multiplied on the way that a later step drops: then those steps come first that add no
+freedom (see ``ordered``).
 """
 
 from __future__ import annotations
@@ -60,12 +64,95 @@ class Matcher:
 
     def match(self, rows: Rows, parts: list[T], repeatable: bool = False) -> Rows:
         used: list[tuple[str, str, set[str] | None]] = []  # (one or many, column, types) of the clause's relationships
-        pending = list(parts)
+        pending = self.ordered(rows, parts)
         while pending:  # parts that touch bound variables come first; others would be products
             i = next((k for k, p in enumerate(pending) if self.anchors(rows, p)), 0)
             rows = self.part(rows, pending.pop(i), used, repeatable)
         return rows
 
+    def ordered(self, rows: Rows, parts: list[T]) -> list[T]:
+        """The parts, cut into steps in another order where that keeps the rows fewer.
+
+        What a row holds follows from some of its elements: a relationship gives both its ends, and a node the
+        relationship of which it has one at most.  The least number of elements from which the others follow is the
+        power of the tables' size that bounds the rows.  Customers and suppliers that only a nation joins take two,
+        which is a product; customers, their orders and the lines of those take one.  Each time the step is taken
+        after which that number is least; where the greatest is no less than in the written order, that one stays.
+        """
+        elements = [e for p in parts for e in p.elements]
+        plain = all(e.kind == "node_pat" or e.kind == "rel_pat" and not (e.legacy or e.quantified) for e in elements) and all(p.parts.get(k) is None for p in parts for k in ("path", "selector", "mode"))
+        if not plain or any(self.refers_outside(e) for e in elements):
+            return list(parts)
+        if any(isinstance(rows.scope.get(e.var), Value if e.kind == "node_pat" else Element) for e in elements):
+            return list(parts)
+        named = [T("part", elements=[T(e.kind, **{**e.parts, "var": e.var or fresh("anon")}) for e in self.normalised(p.elements)]) for p in parts]
+        bound = {v for v, b in rows.scope.items() if isinstance(b, Element)}
+        steps = self.steps(named, set(bound))
+        asked = [e for p in named for e in p.elements if e.kind == "node_pat" and any(e.parts[k] is not None for k in ("labels", "props", "where"))]
+        if len({r.var for _, r, _ in steps}) < len(steps) or len({e.var for e in asked}) < len(asked) or self.peak(steps, bound) <= self.freedom(steps, bound):
+            return list(parts)
+        left, order, have = list(steps), [], set(bound)
+        while left:
+            near = [s for s in left if have & {s[0].var, s[2].var}] or left[:1]
+            best = min(near, key=lambda s: (self.freedom([*order, s], bound), not {s[0].var, s[2].var} <= have))
+            left = [s for s in left if s is not best]
+            order.append(best)
+            have |= {best[0].var, best[2].var}
+        if self.peak(order, bound) >= self.peak(steps, bound):
+            return list(parts)
+        asks, out = {e.var: e for e in asked}, []
+
+        def node(name: str) -> T:  # what the clause asks of a node is asked where it first comes
+            return asks.pop(name, None) or T("node_pat", var=name, labels=None, props=None, where=None)
+
+        for a, rel, b in order:
+            out.append(T("part", path=None, selector=None, count=None, mode=None, elements=[node(a.var), rel, node(b.var)], text=""))
+        return out + [p for p, n in zip(parts, named, strict=True) if len(n.elements) == 1 and n.elements[0].var not in have]
+
+    def steps(self, parts: list[T], have: set[str]) -> list[tuple[T, T, T]]:
+        """(left node, relationship, right node) in the order in which the parts are walked."""
+        out, pending = [], list(parts)
+        while pending:
+            p = pending.pop(next((k for k, p in enumerate(pending) if any(e.kind == "node_pat" and e.var in have for e in p.elements)), 0))
+            nodes = [i for i, e in enumerate(p.elements) if e.kind == "node_pat"]
+            start = next((i for i in nodes if p.elements[i].var in have), self.best_start(p.elements, nodes))
+            out += [tuple(p.elements[i : i + 3]) for i in nodes if start <= i < nodes[-1]]
+            out += [tuple(p.elements[i - 2 : i + 1]) for i in reversed(nodes) if 0 < i <= start]
+            have |= {e.var for e in p.elements if e.kind == "node_pat"}
+        return out
+
+    def freedom(self, steps: list[tuple[T, T, T]], bound: set[str]) -> int:
+        """The least number of elements of the steps from which, with what is bound, all others follow."""
+        follow: dict[str, set[str]] = {}
+        for left, rel, right in steps:
+            types = possible_types(rel.types)
+            tables = [t for t in self.graph.rels if types is None or t.type in types]
+            follow.setdefault(rel.var, set()).update((left.var, right.var))
+            for end, node in zip(("_src", "_dst") if rel.direction == "out" else ("_dst", "_src"), (left, right), strict=True):
+                follow.setdefault(node.var, set())
+                if rel.direction != "any" and tables and all(end in t.single for t in tables):
+                    follow[node.var].add(rel.var)
+
+        def reach(starts: set[str]) -> set[str]:
+            out, todo = set(starts), list(starts)
+            while todo:
+                new = follow.get(todo.pop(), set()) - out
+                out |= new
+                todo += new
+            return out
+
+        known, count = reach(bound), 0
+        rest = {e: reach({e}) for e in follow if e not in known}
+        while rest:  # an element that follows from none but those that follow from it
+            e = max(rest, key=lambda e: len(rest[e]))
+            known |= rest[e]
+            rest = {k: v for k, v in rest.items() if k not in known}
+            count += 1
+        return count
+
+    def peak(self, steps: list[tuple[T, T, T]], bound: set[str]) -> int:
+        return max((self.freedom(steps[: i + 1], bound) for i in range(len(steps))), default=0)
+
     def anchors(self, rows: Rows, part: T) -> bool:
         return any(e.kind == "node_pat" and e.var in rows.scope for e in part.elements)
 

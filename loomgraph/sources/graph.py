@@ -54,6 +54,7 @@ class RelTable(_Table):
     source: tuple[str, ...] | None = None  # labels that every source node has
     target: tuple[str, ...] | None = None
     sound: bool = True  # every end exists
+    single: frozenset[str] = frozenset()  # ends, of _src and _dst, at which a node has one such relationship at most
 
     def properties(self) -> dict[str, S.DataType]:
         return {f.name: f.dataType for f in self.df.schema if f.name not in REL}
@@ -197,7 +198,8 @@ class GraphBuilder:
     ``df`` may be a function that opens the table.  ``node(label, df, key)`` gives each label set an ordinal; ids are ``ordinal * STRIDE +
     key`` and so unique.  ``rel(type, df, (label, column), (label, column))`` names the
     ends by label and key column; relationship ids come from ``key`` where there is one,
-    else from a hash of all columns (parallel equal rows need a key).
+    else from a hash of all columns (parallel equal rows need a key).  An end whose column
+    is the key has one relationship of the type for each node, which orders joins.
     """
 
     def __init__(self, spark: SparkSession):
@@ -229,7 +231,8 @@ class GraphBuilder:
             rows = normal(rows.withColumn("__id", key_col).withColumn("__src", src).withColumn("__dst", dst)).where("__src is not null and __dst is not null")
             return rows.select(F.col("__id").alias("_id"), F.col("__src").alias("_src"), F.col("__dst").alias("_dst"), *[F.col(f"`{c}`") for c in props or []])
 
-        self.graph.rels.append(RelTable(type_, frame, (source[0],), (target[0],), sound))
+        single = frozenset(end for end, (_, column) in (("_src", source), ("_dst", target)) if isinstance(key, str) and isinstance(column, str) and key == column)
+        self.graph.rels.append(RelTable(type_, frame, (source[0],), (target[0],), sound, single))
         return self
 
     def build(self) -> Graph:
