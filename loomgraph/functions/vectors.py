@@ -24,15 +24,33 @@ def dot(a, b):
 
 
 def cosine(a, b):
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Within -1 and 1; one root of the product rounds as in the SQL engines, so that scaled copies rank alike."""
+
+    def of(t):
+        squares = t["a"] * t["b"]
+        one = (squares > 1e-280) & (squares < 1e300)  # else the product has too few bits, or none
+        c = t["d"] / F.when(one, F.sqrt(squares)).otherwise(F.sqrt(t["a"]) * F.sqrt(t["b"]))
+        return F.when((c > 1) & (c < 2), F.lit(1.0)).when(c < -1, F.lit(-1.0)).otherwise(c)  # NaN is above all
+
+    # an array of one, so that each sum is taken once
+    return F.transform(F.array(F.struct(dot(a, b).alias("d"), dot(a, a).alias("a"), dot(b, b).alias("b"))), of)[0]
 
 
 def squared(a, b):
     return _sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
+def closeness(kind: str, a, b):
+    """What ranks like the score of a similarity: the cosine, of which the score loses the last bits."""
+    return cosine(a, b) if kind == "cosine" else F.lit(1.0) / (squared(a, b) + 1)
+
+
+def scored(kind: str, near):
+    return (near + 1) / 2 if kind == "cosine" else near
+
+
 def similarity(kind: str, a, b):
-    return (cosine(a, b) + 1) / 2 if kind == "cosine" else F.lit(1.0) / (squared(a, b) + 1)
+    return scored(kind, closeness(kind, a, b))
 
 
 @function("vector.similarity.cosine")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import GraphError
-from ..functions.vectors import similarity
+from ..functions.vectors import closeness, scored
 from ..plans.expressions import Expressions
 from ..plans.values import DOUBLE, Element, Rows, Value, fresh
 from ..sources.graph import Graph
@@ -45,18 +45,19 @@ def vector_search(compiler, s, rows: Rows, before: Rows) -> Rows:
     if s.where is not None:
         rows = rows.with_(df=rows.df.where(x.predicate(s.where)))
     q = x(s.query)
-    score = fresh("score")
+    score, near, kind = fresh("score"), fresh("near"), index.get("similarity", "cosine")
     vector = F.col(el.props[prop][0]).cast("array<double>")
     query = q.col.cast("array<double>")
     sound = vector.isNotNull() & query.isNotNull() & (F.size(vector) == F.size(query))
-    df = rows.df.where(sound).withColumn(score, similarity(index.get("similarity", "cosine"), vector, query))
-    best = [F.col(score).desc(), F.col(el.id).asc()]
+    df = rows.df.where(sound).withColumn(near, closeness(kind, vector, query))
+    best = [F.col(near).desc(), F.col(el.id).asc()]
     keys = list(dict.fromkeys(b.id if isinstance(b, Element) else b.name for v, b in before.scope.items() if v in rows.scope))
     if keys:
         n = fresh("rank")
         df = df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col(n) <= k).drop(n)
     else:
         df = df.orderBy(*best).limit(k)
+    df = df.withColumn(score, scored(kind, F.col(near))).drop(near)
     scope = dict(rows.scope)
     if s.score:
         scope[s.score] = Value(score, DOUBLE)
