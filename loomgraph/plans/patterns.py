@@ -12,6 +12,8 @@ freedom (see ``ordered``).
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -24,6 +26,8 @@ from .expressions import Expressions
 from .values import LONG, STRING, Element, Rows, Val, Value, fresh, to
 
 ALL = None  # every property
+#: Among what is needed of a path: its elements, with the properties named beside it.
+ELEMENTS = "_elements"
 
 
 def required_labels(e: T | None) -> set[str]:
@@ -55,12 +59,16 @@ def possible_types(e: T | None) -> set[str] | None:
 class Matcher:
     def __init__(self, graph: Graph, params: dict, needed: dict[str, set[str] | None]):
         self.graph, self.params, self.needed = graph, params, needed
-        self.whole = False  # while a part is compiled whose path is read element by element
+        self.also: set[str] | None = set()  # while a part is compiled, what is read of all its path's elements
 
     def keep(self, var: str | None) -> set[str] | None:
-        if self.whole:
-            return ALL
-        return self.needed.get(var, set()) if var else set()
+        own = self.needed.get(var, set()) if var else set()
+        return ALL if own is ALL or self.also is ALL else own | self.also
+
+    def elementwise(self, part: T) -> bool:
+        """Whether more is read of a part's path than ids."""
+        wanted = self.needed.get(part.path, set()) if part.path is not None else set()
+        return wanted is ALL or ELEMENTS in wanted
 
     def match(self, rows: Rows, parts: list[T], repeatable: bool = False) -> Rows:
         used: list[tuple[str, str, set[str] | None]] = []  # (one or many, column, types) of the clause's relationships
@@ -158,11 +166,12 @@ class Matcher:
 
     # single parts
     def part(self, rows: Rows, part: T, used: list, repeatable: bool) -> Rows:
-        before, self.whole = self.whole, self.whole or part.path is not None and self.needed.get(part.path, set()) is ALL
+        before, wanted = self.also, self.needed.get(part.path, set()) if self.elementwise(part) else set()
+        self.also = ALL if before is ALL or wanted is ALL else before | wanted
         try:
             return self.walked(rows, part, used, repeatable)
         finally:
-            self.whole = before
+            self.also = before
 
     def walked(self, rows: Rows, part: T, used: list, repeatable: bool) -> Rows:
         elements = self.normalised(part.elements)
@@ -322,11 +331,11 @@ class Matcher:
         return rows.with_(df=joined, scope={**rows.scope, name: new}), new
 
     # one relationship
-    def rels(self, pattern: T, leftward: bool, everything: bool = False) -> tuple[DataFrame, Element, str, str, set[str] | None, list]:
+    def rels(self, pattern: T, leftward: bool) -> tuple[DataFrame, Element, str, str, set[str] | None, list]:
         """The relationships of a step with the columns of its near and far end."""
         types = possible_types(pattern.types)
         keep, mentioned = self.keep(pattern.var), self.mentioned(pattern)
-        df = self.graph.scan_rels(types, None if everything or keep is ALL or mentioned is ALL else keep | mentioned)
+        df = self.graph.scan_rels(types, None if keep is ALL or mentioned is ALL else keep | mentioned)
         df, el = self.renamed(df, "rel")
         direction = pattern.direction
         if leftward:
@@ -483,9 +492,9 @@ class Matcher:
 
     def hop(self, part: T, rel: T, leftward: bool) -> tuple[Step, set[str] | None]:
         """One repetition: near and far end, its relationships and nodes, and what its variables hold."""
-        full = part.path is not None and self.needed.get(part.path, set()) is ALL
+        full = self.elementwise(part)
         if rel.kind == "rel_pat":
-            df, el, near, far, types, _ = self.rels(rel, leftward, full)
+            df, el, near, far, types, _ = self.rels(rel, leftward)
             name = rel.var or "_r"
             c = self.conditions(Rows(df, {name: el}), rel, name, el)
             if c is not None:
@@ -498,7 +507,7 @@ class Matcher:
                 carried[rel.var] = v.type
             if full:
                 r = el.struct()
-                nodes, node = self.renamed(self.graph.scan_nodes(None), "node")
+                nodes, node = self.renamed(self.ends_of(types).scan_nodes(None, self.also), "node")
                 nodes = nodes.select(F.col(node.id).alias("_far_id"), node.struct().col.alias("g__pn"))
                 df = df.join(nodes, F.col(far) == F.col("_far_id"))
                 cols += [F.col("g__pn"), r.col.alias("g__pr")]
@@ -525,6 +534,13 @@ class Matcher:
                 carried[v] = x.type
         return Step(rows.df.select(*cols), carried, single=len(rels) == 1), None
 
+    def ends_of(self, types: set[str] | None) -> Graph:
+        """The graph with the node tables only that relationships of the types can end in."""
+        ends = [labels for t in self.graph.rels if types is None or t.type in types for labels in (t.source, t.target)]
+        if not ends or None in ends:
+            return self.graph
+        return replace(self.graph, nodes=[t for t in self.graph.nodes if t.labels is None or any(set(labels) <= set(t.labels) for labels in ends)])
+
     def named(self, part: T) -> T:
         self.named_elements = [T(e.kind, **{**e.parts, "var": e.parts.get("var") or fresh("g")}) if e.kind != "group" else e for e in part.elements]
         return T("part", **{**part.parts, "elements": self.named_elements})
@@ -532,7 +548,7 @@ class Matcher:
     # paths
     def path(self, rows: Rows, part: T, elements: list[T], names: dict, steps: dict) -> Rows:
         """The path as struct(_nodes, _rels): whole elements where the query asks for them, ids else."""
-        full = self.needed.get(part.path, set()) is ALL
+        full = self.elementwise(part)
         bare_n = S.StructType([S.StructField("_id", LONG), S.StructField("_labels", S.ArrayType(STRING))])
         bare_r = S.StructType([S.StructField("_id", LONG), S.StructField("_type", STRING), S.StructField("_src", LONG), S.StructField("_dst", LONG)])
         ns: list[Val] = []

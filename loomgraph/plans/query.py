@@ -11,7 +11,7 @@ from ..cypher.tree import names_in
 from ..errors import GraphError, semantic
 from ..sources.graph import Graph
 from .expressions import Expressions, has_aggregate
-from .patterns import Matcher
+from .patterns import ELEMENTS, Matcher
 from .values import BOOL, LONG, STRING, Element, Rows, Val, Value, common, fresh, is_node, is_rel, to
 
 #: Functions of an element that do not read its properties.
@@ -22,6 +22,7 @@ SUBS = ("exists", "count_sub", "collect_sub", "pattern_comp", "pattern_pred")
 def needs(tree: T) -> dict[str, set[str] | None]:
     """For each variable name the properties that a query can read (None: all)."""
     out: dict[str, set[str] | None] = {}
+    walks: set[tuple[str, str]] = set()  # a path, and a variable that goes over its elements
 
     def add(name: str, key: str | None) -> None:
         have = out.setdefault(name, set())
@@ -45,6 +46,14 @@ def needs(tree: T) -> dict[str, set[str] | None]:
         if e.kind == "fn" and e.name in ("length", "path_length") and e.args and e.args[0].kind == "var":
             out.setdefault(e.args[0].name, set())
             return
+        if e.kind in ("list_comp", "list_pred", "reduce") and e.list.kind == "fn" and e.list.name in ("nodes", "relationships", "rels") and len(e.list.args) == 1 and e.list.args[0].kind == "var" and e.parts.get("out", e) is not None:
+            walks.add((e.list.args[0].name, e.var))
+            for c in e.children():
+                if c is not e.list:
+                    visit(c)
+            return
+        if e.kind == "map_proj" and ("*", None) in e.items:
+            add(e.var, None)
         if e.kind == "fn" and e.name == "property_exists" and e.args[0].kind == "var":
             add(e.args[0].name, e.args[1].value)
             return
@@ -102,6 +111,9 @@ def needs(tree: T) -> dict[str, set[str] | None]:
                     add(t.name, None)
         if e.kind in ("set_prop", "set_label", "remove_label") and "var" in e.parts:
             add(e.var, None)
+    for path, var in walks:  # of a path's elements what its variables read
+        have, of = out.setdefault(path, set()), out.get(var, set())
+        out[path] = None if have is None or of is None else have | of | {ELEMENTS}
     if "*" in out:
         return {k: None for k in out} | {"*": None}
     return out

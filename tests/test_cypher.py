@@ -92,3 +92,27 @@ def test_steps_that_multiply_rows_come_last(spark):
     assert [r[-1] for r in cypher(g, text).rows()] == [30]
     # on rows that are there, with a node that no step reaches
     assert cypher(g, "MATCH (s:Seller) WITH s MATCH (b:Buyer)-[:LIVES]->(t)<-[:SITS]-(s), (b)-[:GOT]->()-[:FROM]->(s), (x:Town) RETURN count(*) AS n").rows() == [(240,)]
+
+
+def test_paths_read_only_what_is_asked_of_their_elements(spark, tmp_path):
+    """Of a path's nodes the properties that a query names, from the tables that its relationships can end in."""
+    spark.createDataFrame([(1, "N", "x"), (2, "E", "y"), (3, "S", "z")], "k long, name string, story string").coalesce(1).write.parquet(str(tmp_path / "c"))
+    spark.createDataFrame([(1, 1, 2, 4, "u"), (2, 2, 3, 6, "v")], "k long, a long, b long, flow long, log string").coalesce(1).write.parquet(str(tmp_path / "r"))
+
+    def never():
+        raise AssertionError("a table that no pipe ends in is read")
+
+    b = GraphBuilder(spark).node("Pump", spark.read.parquet(str(tmp_path / "c")), "k").node("Book", never, "k")
+    g = b.rel("PIPE", spark.read.parquet(str(tmp_path / "r")), ("Pump", "a"), ("Pump", "b"), key="k", props=["flow", "log"]).build()
+    for text, want in [
+        ("MATCH p = (a:Pump {k: 1})-[:PIPE*1..2]->(b:Pump) RETURN [x IN nodes(p) | x.name] AS n, reduce(s = 0, r IN relationships(p) | s + r.flow) AS f ORDER BY f", [(["N", "E"], 4), (["N", "E", "S"], 10)]),
+        ("MATCH p = (b:Pump)<-[:PIPE*2..2]-(a:Pump {k: 1}) RETURN [x IN nodes(p) WHERE x.name <> 'E' | x.name] AS n, all(x IN nodes(p) WHERE x.k > 0) AS f", [(["S", "N"], True)]),
+        ("MATCH p = (a:Pump)-[:PIPE]->(:Pump)-[:PIPE]->(b:Pump) RETURN [x IN nodes(p) | x.name] AS n, [r IN relationships(p) | r.flow] AS f", [(["N", "E", "S"], [4, 6])]),
+    ]:
+        result = cypher(g, text)
+        assert result.rows() == want
+        plan = result.df._jdf.queryExecution().executedPlan().toString()
+        read = [x.split(">")[0] for x in plan.split("ReadSchema")[1:]]
+        assert read and not any("story" in x or "log" in x for x in read)
+    # elements that are read whole have all
+    assert cypher(g, "MATCH p = (a:Pump {k: 1})-[:PIPE*1..1]->(b:Pump) RETURN [x IN nodes(p) | x{.*}.story] AS n").rows() == [(["x", "y"],)]
